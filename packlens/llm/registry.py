@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 from .jaccard import op1_ngram_jaccard
+from .language import op4_language_id
+from .mixing import OP3_SQL, op3_mixing
+from .packing import op8_packing
+from .secrets import op10_secret_scan
+from .urls import OP9_SQL, op9_url_filters
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_warc": op2_warc,
+    "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
+    "op8_packing": op8_packing,
+    "op9_url_filters": op9_url_filters,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_warc": OP2_SQL,
+    "op3_mixing": OP3_SQL,
+    "op9_url_filters": OP9_SQL,
+}
