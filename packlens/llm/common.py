@@ -8,13 +8,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Arrow batches for Python workers hold at most so many rows and bytes, whatever a row's size.
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 _own: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the batches that Python workers get in this session."""
+    """Bounds the batches that Python workers get in this session, and gives them this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .embeddings import op6_embedding_near_dedup
 from .jaccard import op1_ngram_jaccard
 from .language import op4_language_id
 from .mixing import OP3_SQL, op3_mixing
+from .neighbours import op7_nearest
 from .packing import op8_packing
 from .secrets import op10_secret_scan
+from .suffixes import op5_suffix_dedup
 from .urls import OP9_SQL, op9_url_filters
 from .warc import OP2_SQL, op2_warc
 
@@ -15,6 +18,9 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_nearest": op7_nearest,
     "op8_packing": op8_packing,
     "op9_url_filters": op9_url_filters,
     "op10_secret_scan": op10_secret_scan,
