@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,27 +50,34 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
     return {lang: b"".join(map(distinct_words, texts))[:DICT_BYTES] for lang, texts in found.items()}
 
 
+def _packers(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    found = []
+    for name in sorted(dictionaries):
+        raw = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=LEVEL)
+        found.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False)))
+    return found
+
+
 def _predict(dictionaries: dict[str, bytes], narrow: float):
+    packers: list[tuple[str, zstandard.ZstdCompressor]] = []
+
     def run(batches):
-        names = sorted(dictionaries)
-        packers = []
-        for name in names:
-            raw = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False))
+        if not packers:
+            packers.extend(_packers(dictionaries))
         for batch in batches:
             langs, scores, rejected = [], [], []
             for text, letter in zip(batch.column("text").to_pylist(), batch.column("letter").to_pylist()):
-                if not letter or not names:
+                if not letter or not packers:
                     best, score = "und", 0.0
                 else:
                     raw = distinct_words(text)
-                    sizes = sorted((len(p.compress(raw)), name) for p, name in zip(packers, names))
+                    sizes = sorted((len(p.compress(raw)), name) for name, p in packers)
                     best = sizes[0][1]
                     score = 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]
                 langs.append(best)
                 scores.append(score)
-                rejected.append(best == "und" or len(names) > 1 and score < narrow)
+                rejected.append(best == "und" or len(packers) > 1 and score < narrow)
             own = [i for i, c in enumerate(batch.schema.names) if c not in ("text", "letter")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(batch.schema.names[i] for i in own), "lang_pred", "score", "rejected"])
 
@@ -91,6 +99,25 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], te
     return rows.mapInArrow(_predict(dictionaries, narrow), f"{kinds}lang_pred string, score double, rejected boolean")
 
 
+def _known(dictionaries: dict[str, bytes], narrow: float, text_at: int):
+    judge = _predict(dictionaries, narrow)
+
+    def run(batches):
+        for batch in batches:
+            asked = pa.RecordBatch.from_arrays([batch.column(text_at), batch.column(batch.num_columns - 1)], names=["text", "letter"])
+            rejected = next(judge([asked])).column("rejected")
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pc.invert(rejected))
+
+    return run
+
+
+def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", narrow: float = NARROW) -> DataFrame:
+    """The rows of ``docs`` that predict would not reject, with the columns they came with."""
+    prepare(docs.sparkSession)
+    letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("_" * max(map(len, docs.columns)) + "letter")
+    return docs.select("*", letter).mapInArrow(_known(dictionaries, narrow, docs.columns.index(text_col)), docs.schema)
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
