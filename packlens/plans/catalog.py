@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import chunks, policy, trace  # noqa: F401
+from . import cache, chunks, compare, overlay, policy, profile, ranges, trace, trees, validity  # noqa: F401
 from .register import ORACLES, QUERIES  # noqa: F401
