@@ -230,13 +230,28 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: What a row of anchors says: one occurrence; that an anchor occurs twice; an occurrence of such a one.
+_ONCE, _AGAIN, _SETTLED = 0, 1, 2
+
+
 def _find_anchors(length: int, gram: int):
+    """Occurrences of anchors. Those met twice in a batch are settled there: what travels on by anchor is
+    one row a batch, however often a line or passage occurs."""
+
     def run(batches):
         for batch in batches:
             content, seen = batch.column("content").to_numpy(), set()
             texts = [b"" if c in seen or seen.add(c) else t for c, t in zip(content.tolist(), batch.column("text").cast(pa.binary()).to_pylist())]
             number, _, _, place, hashes = anchor_runs(texts, length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(content[number], pa.int64()), pa.array(place)], names=["anchor", "content", "place"])
+            order = np.argsort(hashes, kind="stable")
+            hashes, number, place = hashes[order], number[order], place[order]
+            new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+            times = np.diff(np.append(np.flatnonzero(new), len(hashes)))
+            settled = np.repeat(times > 1, times)
+            heads = np.flatnonzero(new)[times > 1]
+            at = np.concatenate((np.arange(len(hashes)), heads))
+            kind = np.concatenate((np.where(settled, _SETTLED, _ONCE), np.full(len(heads), _AGAIN)))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(content[number[at]], pa.int64()), pa.array(place[at]), pa.array(kind, pa.int32())], names=["anchor", "content", "place", "kind"])
 
     return run
 
@@ -340,9 +355,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = rows.df.groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     long = source.where(F.octet_length("text") >= length).select("id", "text", F.xxhash64(digest).alias("content"))
 
-    anchors = Saved(long.select("content", "text").mapInArrow(_find_anchors(length, gram), "anchor long, content long, place long"), "anchors")
-    shared = anchors.df.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.min("place").alias("c"), F.max("place").alias("d")).where("a <> b or c <> d").select("anchor")
-    places = Saved(anchors.df.join(shared, "anchor", "left_semi").groupBy("content").agg(F.collect_set("place").alias("places")), "places")
+    anchors = Saved(long.select("content", "text").mapInArrow(_find_anchors(length, gram), "anchor long, content long, place long, kind int"), "anchors")
+    open_ = anchors.df.where(F.col("kind") != _SETTLED)
+    shared = open_.groupBy("anchor").agg(F.max("kind").alias("kind"), F.min("content").alias("a"), F.max("content").alias("b"), F.min("place").alias("c"), F.max("place").alias("d")).where(f"kind = {_AGAIN} or a <> b or c <> d").select("anchor")
+    found = open_.where(F.col("kind") == _ONCE).join(shared, "anchor", "left_semi").unionByName(anchors.df.where(F.col("kind") == _SETTLED))
+    places = Saved(found.groupBy("content").agg(F.collect_set("place").alias("places")), "places")
     anchors.drop()
     total = places.df.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = parts(total * (length + (length - gram) // 2), bucket_bytes)
