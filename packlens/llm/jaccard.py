@@ -33,7 +33,7 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 ENTRIES_PER_BUCKET = 2_000_000
-BLOCK_ROWS, BLOCK_ENTRIES = 2048, 1 << 20
+BLOCK_ROWS, BLOCK_ENTRIES, BIN_ENTRIES = 2048, 1 << 20, 1 << 18
 
 
 def _need(n, num: int, den: int):
@@ -269,10 +269,15 @@ def product_labels(sets: list[np.ndarray], num: int = 80, den: int = 100) -> np.
             part[row[a:b], column[a:b] - i * wide] = 1
             overlap += part @ part.T
     np.fill_diagonal(overlap, n)
-    linked = den * overlap.astype(np.int64) >= num * (n[:, None] + n[None, :] - overlap.astype(np.int64))
-    label = np.arange(m)
+    # den * overlap >= num * union in whole numbers; union = sum of the sizes - overlap
+    total = (n[:, None] + n[None, :]) * num
+    overlap = overlap.astype(np.int64)
+    overlap *= den + num
+    linked = overlap >= total
+    del overlap, total
+    label = np.arange(m, dtype=np.int32)
     while True:
-        new = np.where(linked, label[None, :], m).min(axis=1)
+        new = np.where(linked, label[None, :], np.int32(m)).min(axis=1)
         new = new[new]
         if (new == label).all():
             return label
@@ -350,9 +355,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = rows.df.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("entries"))
     big = (F.col("many") > most_rows) | (F.col("entries") > most_entries)
     large = sizes.where(big)
-    bins = parts(left, most_entries // 2)
+    bins = parts(left, BIN_ENTRIES)
     small = rows.df.join(sizes.where(~big).select("cluster"), "cluster").withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    edges = small.groupBy("bin").applyInArrow(_edges(num, den, "cluster"), "a long, b long")
+    # by stated number: a bin's work is not in proportion to its bytes, so that bins should not be merged by size
+    edges = small.repartition(bins, "bin").groupBy("bin").applyInArrow(_edges(num, den, "cluster"), "a long, b long")
     if not large.isEmpty():
         pairs = _pairs(rows.df, large, num, den, most_rows, most_entries)
         edges = edges.unionAll(pairs.groupBy("pair").applyInArrow(_edges(num, den, "pair"), "a long, b long"))
