@@ -24,7 +24,11 @@ def nanoseconds(ts):
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access-trace events in arrival order (seq)."""
-    e = _read(spark, sf_dir, "events")
+    return as_trace(_read(spark, sf_dir, "events"))
+
+
+def as_trace(e: DataFrame) -> DataFrame:
+    """The events table, or a stream of it, as a trace."""
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.col("event_type")
     op = F.when(kind == "purchase", "write").when(kind == "signup", "create").otherwise("read")
