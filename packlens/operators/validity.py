@@ -110,3 +110,30 @@ def bad_tree(nodes: DataFrame) -> DataFrame:
     joined = nodes.withColumn("above", parent(F.col("path"))).join(above, "above", "left")
     reason = F.when(F.col("above") == "", None).when(F.col("above_kind").isNull(), "no parent").when(F.col("above_kind") != "directory", "parent is no directory")
     return joined.select("path", reason.alias("reason")).where("reason is not null")
+
+
+def policy_violations(policies: DataFrame) -> DataFrame:
+    """id, reasons of policy records that are out of range. policies: id and the fields of a policy."""
+    p = lambda name: F.col(f"prefetch.{name}")
+    rules = {
+        "version": F.col("version") == 1,
+        "cache_bytes": F.col("cache_bytes").isNull() | F.col("cache_bytes").between(0, 4 << 30),
+        "eviction": F.col("eviction").isin("lru", "decaying-hotness"),
+        "decay_accesses": F.col("decay_accesses").between(1, 1_000_000),
+        "sequential_reads": p("sequential_reads").between(2, 32),
+        "max_chunks": p("max_chunks").between(1, 8),
+        "budget_bytes": p("budget_bytes").between(0, 128 << 20),
+        "queue_depth": p("queue_depth").between(1, 256),
+        "ttl_ms": p("ttl_ms").between(1, 30_000),
+        "files": F.forall(F.map_entries("files"), lambda e: valid_path(e["key"]) & e["value"].between(1, 1024)) & (F.size("files") <= 4096),
+    }
+    found = F.filter(F.array(*(F.when(~F.coalesce(good, F.lit(False)), F.lit(name)) for name, good in rules.items())), lambda x: x.isNotNull())
+    return policies.select("id", found.alias("reasons")).where(F.size("reasons") > 0)
+
+
+def tier_violations(tiers: DataFrame) -> DataFrame:
+    """id, reason of tier configurations: promotion without a cache, or remote limits out of range."""
+    remote = F.col("remote")
+    reason = F.when(F.col("version") != 1, "version").when(F.col("promote") & F.col("primary_cache").isNull(), "promotion without a cache")
+    reason = reason.when(remote.isNotNull() & ~F.coalesce(F.col("remote.timeout_ms").between(1, 60_000) & F.col("remote.retries").between(0, 2), F.lit(False)), "remote limits")
+    return tiers.select("id", reason.alias("reason")).where("reason is not null")

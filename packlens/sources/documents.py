@@ -14,21 +14,37 @@ from ..functions.paths import valid_path
 
 MOST_LINE = 256 << 10
 
-TRACE = T.StructType.fromDDL(
-    "version INT, session STRING, ts_ns BIGINT, op STRING, path STRING, offset BIGINT, requested BIGINT, returned DECIMAL(20,0), latency_ns BIGINT, cache STRING, source STRING, worker STRING, success BOOLEAN"
-)
-MANIFEST = T.StructType.fromDDL(
-    "format STRING, version INT, layout STRING, chunker STRING, chunk_size BIGINT, zstd_level INT, directories ARRAY<STRING>, "
-    "files ARRAY<STRUCT<path: STRING, size: BIGINT, mode: INT, hash: STRING, chunks: ARRAY<STRUCT<hash: STRING, offset: BIGINT, raw_size: BIGINT>>>>"
-)
-POLICY = T.StructType.fromDDL(
-    "version INT, cache_bytes BIGINT, eviction STRING, decay_accesses BIGINT, prefetch STRUCT<enabled: BOOLEAN, sequential_reads: INT, max_chunks: INT, budget_bytes: BIGINT, queue_depth: INT, ttl_ms: BIGINT>, files MAP<STRING, INT>"
-)
-TIERS = T.StructType.fromDDL("version INT, primary_cache STRING, secondary STRING, remote STRUCT<base_url: STRING, timeout_ms: BIGINT, retries: INT>, promote BOOLEAN")
-SCANNER = T.StructType.fromDDL(
-    "path STRING, name STRING, store STRING, appid STRING, engine STRUCT<key: STRING, confidence: INT, version: STRING, evidence: ARRAY<STRING>>, "
-    "other_engine_signals ARRAY<STRUCT<key: STRING, evidence: ARRAY<STRING>>>, anti_cheat ARRAY<STRING>, executables MAP<STRING, STRUCT<managed: BOOLEAN, arch: STRING>>, index_truncated BOOLEAN"
-)
+_KINDS = {"int": T.IntegerType(), "long": T.LongType(), "u64": T.DecimalType(20, 0), "str": T.StringType(), "bool": T.BooleanType()}
+
+
+def _kind(x) -> T.DataType:
+    return _KINDS[x] if isinstance(x, str) else x
+
+
+def _record(**fields) -> T.StructType:
+    """A struct type from field names and kinds; made without a session."""
+    return T.StructType([T.StructField(name, _kind(x)) for name, x in fields.items()])
+
+
+def _many(x) -> T.ArrayType:
+    return T.ArrayType(_kind(x))
+
+
+def _by_name(x) -> T.MapType:
+    return T.MapType(T.StringType(), _kind(x))
+
+
+TRACE = _record(version="int", session="str", ts_ns="long", op="str", path="str", offset="long", requested="long", returned="u64", latency_ns="long", cache="str", source="str", worker="str", success="bool")
+_CHUNK = _record(hash="str", offset="long", raw_size="long")
+_FILE = _record(path="str", size="long", mode="int", hash="str", chunks=_many(_CHUNK))
+MANIFEST = _record(format="str", version="int", layout="str", chunker="str", chunk_size="long", zstd_level="int", directories=_many("str"), files=_many(_FILE))
+_PREFETCH = _record(enabled="bool", sequential_reads="int", max_chunks="int", budget_bytes="long", queue_depth="int", ttl_ms="long")
+POLICY = _record(version="int", cache_bytes="long", eviction="str", decay_accesses="long", prefetch=_PREFETCH, files=_by_name("int"))
+TIERS = _record(version="int", primary_cache="str", secondary="str", remote=_record(base_url="str", timeout_ms="long", retries="int"), promote="bool")
+_ENGINE = _record(key="str", confidence="int", version="str", evidence=_many("str"))
+SCANNER = _record(
+    path="str", name="str", store="str", appid="str", engine=_ENGINE, other_engine_signals=_many(_record(key="str", evidence=_many("str"))),
+    anti_cheat=_many("str"), executables=_by_name(_record(managed="bool", arch="str")), index_truncated="bool")
 # Engine keys and their labels.
 ENGINES = {
     "unity-mono": "Unity (Mono)", "unity-il2cpp": "Unity (IL2CPP)", "unreal": "Unreal Engine", "godot": "Godot", "gamemaker": "GameMaker", "source": "Source 1", "source2": "Source 2",
@@ -36,13 +52,13 @@ ENGINES = {
 }
 
 
-def strict(lines: DataFrame, schema: T.StructType, version: int | None = 1, text: str = "value") -> DataFrame:
+def strict(lines: DataFrame, schema: T.StructType, version: int | None = 1, text: str = "value", most: int = MOST_LINE) -> DataFrame:
     """Records parsed from JSON texts; any malformed text, unknown top-level key, over-long text or other
     version is an error."""
     raw = F.col(text)
     keys = F.json_object_keys(raw)
     known = F.array(*(F.lit(f.name) for f in schema))
-    refused = F.when(F.octet_length(raw) > MOST_LINE, "line too long").when(keys.isNull(), "no JSON object").when(F.size(F.array_except(keys, known)) > 0, "unknown key")
+    refused = F.when(F.octet_length(raw) > most, "line too long").when(keys.isNull(), "no JSON object").when(F.size(F.array_except(keys, known)) > 0, "unknown key")
     if version is not None:
         refused = refused.when(~F.get_json_object(raw, "$.version").cast("int").eqNullSafe(F.lit(version)), "unsupported version")
     checked = F.when(refused.isNotNull(), F.raise_error(F.concat(refused, F.lit(": "), F.substring(raw, 1, 80)))).otherwise(raw)
@@ -66,9 +82,9 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType, version: int | None = 1) -> DataFrame:
-    """Whole-file JSON records, strictly."""
-    return strict(spark.read.text(path, wholetext=True), schema, version)
+def read_documents(spark: SparkSession, path: str, schema: T.StructType, version: int | None = 1, most: int = 16 << 20) -> DataFrame:
+    """JSON records, one a line or a file, strictly."""
+    return strict(spark.read.text(path), schema, version, most=most)
 
 
 def manifest_tables(manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,13 +94,15 @@ def manifest_tables(manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return manifest.select(F.explode("directories").alias("path")), f.select("f.path", "f.size", "f.mode", "f.hash"), chunks.select("path", F.col("ordinal").cast("long").alias("ordinal"), "c.*")
 
 
-def manifest_of(files: DataFrame, chunks: DataFrame, layout: str = "packs", chunker: str = "fixed", chunk_size: int = 262144) -> DataFrame:
-    """One manifest a row from tables of files and chunks: the reverse of manifest_tables."""
-    parts = chunks.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "hash", "offset", "raw_size"))), lambda c: F.struct(c["hash"].alias("hash"), c["offset"].alias("offset"), c["raw_size"].alias("raw_size"))).alias("chunks"))
+def manifest_of(files: DataFrame, chunks: DataFrame, shard: str, layout: str = "packs", chunker: str = "fixed", chunk_size: int = 262144) -> DataFrame:
+    """Manifests from tables of files and chunks, one for each shard of the files (a column): the reverse
+    of manifest_tables. A shard is what one row can hold."""
+    one = F.struct("ordinal", "hash", "offset", "raw_size")
+    parts = chunks.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(one)), lambda c: F.struct(c["hash"].alias("hash"), c["offset"].alias("offset"), c["raw_size"].alias("raw_size"))).alias("chunks"))
     none = F.array().cast("array<struct<hash:string,offset:bigint,raw_size:bigint>>")
-    whole = files.join(parts, "path", "left").select(F.struct("path", "size", "mode", "hash", F.coalesce("chunks", none).alias("chunks")).alias("f"))
+    whole = files.join(parts, "path", "left").select(F.col(shard).alias("__shard"), F.struct("path", "size", "mode", "hash", F.coalesce("chunks", none).alias("chunks")).alias("f"))
     head = {"format": F.lit("store"), "version": F.lit(1), "layout": F.lit(layout), "chunker": F.lit(chunker), "chunk_size": F.lit(chunk_size).cast("long"), "zstd_level": F.lit(3)}
-    return whole.agg(F.array_sort(F.collect_list("f")).alias("files")).select(*(c.alias(k) for k, c in head.items()), F.array().cast("array<string>").alias("directories"), "files")
+    return whole.groupBy("__shard").agg(F.array_sort(F.collect_list("f")).alias("files")).select(*(c.alias(k) for k, c in head.items()), F.array().cast("array<string>").alias("directories"), "files")
 
 
 def metric_event(spark: SparkSession, path: str, event: str = "unmounted") -> DataFrame:
@@ -109,6 +127,11 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False, most_depth:
     return rows.orderBy("path")
 
 
+def sealed(payload, digest):
+    """A JSON payload whose SHA-256 is the stated one; anything else is an error."""
+    return F.when(F.sha2(payload, 256) == digest, payload).otherwise(F.raise_error(F.lit("digest of the snapshot differs")))
+
+
 def normalize_scan(reports: DataFrame, files: DataFrame) -> DataFrame:
     """Scanner reports (SCANNER rows) with a label for their engine and evidence that exists: of the
     named paths, those that are files, by their own names, sorted, each once."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +18,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(_own.setdefault("dir", tempfile.mkdtemp(prefix="packlens-")))
     return df.checkpoint()
+
+
+def scratch(spark, label: str) -> str:
+    """A new folder name in the shared folder, for what a query writes and reads again."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + _own.setdefault("dir", tempfile.mkdtemp(prefix="packlens-"))
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
