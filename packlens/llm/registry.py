@@ -7,6 +7,7 @@ from .jaccard import op1_ngram_jaccard
 from .language import op4_language_id
 from .mixing import OP3_SQL, op3_mixing
 from .neighbours import op7_nearest
+from .oracles import OP1_SQL, OP5_SQL, OP6_SQL
 from .packing import op8_packing
 from .secrets import op10_secret_scan
 from .suffixes import op5_suffix_dedup
@@ -27,7 +28,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op3_mixing": OP3_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
     "op9_url_filters": OP9_SQL,
 }
