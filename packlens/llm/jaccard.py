@@ -32,7 +32,7 @@ from .common import Saved, parts, prepare
 from .components import components
 from .shingles import mix, shingle_sets
 
-ENTRIES_PER_BUCKET = 2_000_000
+ENTRIES_PER_BUCKET = 1_000_000
 BLOCK_ROWS, BLOCK_ENTRIES, BIN_ENTRIES = 2048, 1 << 20, 1 << 18
 
 
