@@ -9,8 +9,8 @@ further. The others are dealt out by anchor: equal windows meet in one bucket, e
 A bucket's windows are suffixes of its fragments, sorted in two stages: suffixes smaller than their
 successors directly, by their bytes; the rest by scanning the buckets of first bytes in order, each
 entry placing its predecessor. Adjacent common prefixes of LENGTH or more are repeats. They are
-computed only where a suffix does not stand right behind the neighbour of the one before it; elsewhere
-they are one less than the last.
+computed only where a suffix does not stand right behind the neighbour of the one before it, or where the
+one before shares nothing with its neighbour; elsewhere they are one less than the last.
 
 Texts that are equal as a whole are one text with a multiplicity; fragments that are equal are sorted
 once, with a list of their owners.
@@ -190,16 +190,21 @@ def repeated_starts(fragments: list[bytes], windows: list[int], twice: np.ndarra
     places = np.flatnonzero(wanted)
     prior = left[places]
     head = np.concatenate(([True], (places[1:] != places[:-1] + 1) | (prior[1:] != prior[:-1] + 1) | (prior[1:] < 0) | (prior[:-1] < 0)))
-    at = np.flatnonzero(head)
-    common = np.zeros(len(at), np.int64)
-    begin_list, prior_list = places[at].tolist(), prior[at].tolist()
-    limit = ends[np.searchsorted(ends, places[at], side="right")].tolist()
-    other = ends[np.minimum(np.searchsorted(ends, np.maximum(prior[at], 0), side="right"), len(ends) - 1)].tolist()
-    for k, (i, j, e, f) in enumerate(zip(begin_list, prior_list, limit, other)):
-        if j >= 0:
-            common[k] = _common(text, i, j, min(e - i, f - j))
-    run = np.cumsum(head) - 1
-    lcp = common[run] - (places - places[at][run])
+    end = ends[np.searchsorted(ends, places, side="right")]
+    prior_end = ends[np.minimum(np.searchsorted(ends, np.maximum(prior, 0), side="right"), len(ends) - 1)]
+    room = np.minimum(end - places, prior_end - prior)
+    lcp = np.full(len(places), -1, dtype=np.int64)
+    common = np.zeros(len(places), dtype=np.int64)
+    fresh = head
+    while fresh.any():
+        for k in np.flatnonzero(fresh & (prior >= 0)).tolist():
+            common[k] = _common(text, int(places[k]), int(prior[k]), int(room[k]))
+        at = np.flatnonzero(head)
+        run = np.cumsum(head) - 1
+        lcp = common[at][run] - (places - places[at][run])
+        # behind a prefix of nothing, the next two suffixes may agree again: they are compared anew
+        fresh = lcp == -1
+        head = head | fresh
     long = np.zeros(len(text) + 1, dtype=bool)
     hit = (lcp >= length) & (prior >= 0)
     long[places[hit]] = True
