@@ -1,8 +1,5 @@
 from __future__ import annotations
 
-import datetime
-import decimal
-import math
 import os
 import sys
 from pathlib import Path
@@ -11,7 +8,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-SMALL = "/root/testdata/sf0.001"
+from helpers import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,27 +31,3 @@ def duck():
         if name.endswith(".parquet"):
             c.execute(f"create view {name[:-8]} as select * from '{SMALL}/{name}'")
     return c
-
-
-def plain(v):
-    """A value that is equal to that of another engine if the two mean the same."""
-    if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
-    if isinstance(v, decimal.Decimal):
-        return float(f"{float(v):.9g}")
-    if isinstance(v, datetime.datetime | datetime.date):
-        return v.isoformat()
-    if isinstance(v, list | tuple):
-        return tuple(plain(x) for x in v)
-    return bytes(v) if isinstance(v, bytearray) else v
-
-
-def same_rows(df, duck, sql: str) -> None:
-    columns = sorted(df.columns)
-    got = sorted((tuple(plain(v) for v in r) for r in df.select(*(f"`{c}`" for c in columns)).collect()), key=repr)
-    answer = duck.execute(sql)
-    names = [c[0] for c in answer.description]
-    assert sorted(names) == columns
-    at = [names.index(c) for c in columns]
-    want = sorted((tuple(plain(r[i]) for i in at) for r in answer.fetchall()), key=repr)
-    assert got == want
