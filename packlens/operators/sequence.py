@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 from .trace import hot_files, ratio
 
 PRIORITY_MOST, FILE_MOST, HEAT_MOST, TRACKED = 2048, 1024, 1024, 4096
@@ -72,11 +73,11 @@ def sequences(reads: DataFrame, ttl_ms: int, least: int = 3) -> DataFrame:
 def heat(reads: DataFrame, interval: int = 64) -> DataFrame:
     """path, heat, epoch: each path's score after its last read: min(1024, decayed score + 1).
 
-    The clock is the number of the read among all reads, so numbering is global; the score itself is a
-    fold over one path's read numbers.
+    The clock is the number of the read among all reads (see numbering); the score itself is a fold over
+    one path's read numbers.
     """
-    numbered = reads.select("path", F.row_number().over(Window.orderBy("seq")).cast("long").alias("epoch"))
-    gaps = numbered.withColumn("gap", F.col("epoch") - F.lag("epoch").over(Window.partitionBy("path").orderBy("epoch")))
+    clock = numbered(reads.select("path", "seq"), ["seq"], "epoch")
+    gaps = clock.select("path", "epoch").withColumn("gap", F.col("epoch") - F.lag("epoch").over(Window.partitionBy("path").orderBy("epoch")))
     folded = gaps.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("epoch", "gap"))).alias("steps"))
     step = lambda acc, x: F.least(F.lit(HEAT_MOST), decayed(acc, F.coalesce(x["gap"], F.lit(0)), interval) + 1)
     return folded.select("path", F.aggregate("steps", F.lit(0), step).cast("long").alias("heat"), F.element_at("steps", -1)["epoch"].alias("epoch"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Bounds in bytes of the text fields; longer ones are dropped and counted.
 BOUNDS = {"session": 64, "op": 32, "path": 4096, "cache": 32, "source": 32, "worker": 64}
 
@@ -43,7 +45,7 @@ def hot_files(trace: DataFrame, k: int = 20) -> DataFrame:
 def file_ids(trace: DataFrame) -> DataFrame:
     """path, file_id: numbered from 0 in the order in which paths first occur."""
     first = trace.groupBy("path").agg(F.min("seq").alias("first"))
-    return first.select("path", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("file_id"))
+    return numbered(first, ["first"], "file_id", 0).select("path", "file_id")
 
 
 def read_ranges(trace: DataFrame) -> DataFrame:

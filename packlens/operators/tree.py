@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, base_name, parent
+from .numbering import numbered
 
 ROOT_INODE = 1
 
@@ -19,7 +20,7 @@ def nodes(files: DataFrame) -> DataFrame:
 
 def inodes(nodes: DataFrame) -> DataFrame:
     """path, inode: the root is 1, the others follow in the order of their paths."""
-    return nodes.select("path", (F.row_number().over(Window.orderBy("path")) + ROOT_INODE).cast("long").alias("inode"))
+    return numbered(nodes.select("path"), ["path"], "inode", ROOT_INODE + 1)
 
 
 def children(nodes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, like_windows, valid_hash, valid_path
+from .numbering import with_previous
 
 MOST_CHUNK, LEAST_CHUNK_SIZE, MOST_CHUNK_SIZE = 16 << 20, 4096, 4 << 20
 
@@ -20,8 +21,11 @@ def bad_modes(rows: DataFrame) -> DataFrame:
 
 def unsorted(rows: DataFrame, key: str, order: str, within: list[str] | None = None) -> DataFrame:
     """Rows not behind the one before them, in the order of ``order`` (within groups, or else overall)."""
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(order)
-    return rows.withColumn("previous", F.lag(key).over(w)).where(F.col("previous") >= F.col(key))
+    if within:
+        rows = rows.withColumn("previous", F.lag(key).over(Window.partitionBy(*within).orderBy(order)))
+    else:
+        rows = with_previous(rows, [order], key)
+    return rows.where(F.col("previous") >= F.col(key))
 
 
 def repeated(rows: DataFrame, key: str | Column, name: str = "key") -> DataFrame:
@@ -63,11 +67,11 @@ def bad_records(records: DataFrame) -> DataFrame:
 
     Records have hash, compressed_size, raw_size, codec (raw or zstd) and seq, their place.
     """
-    last = F.lag("hash").over(Window.orderBy("seq"))
+    last = F.col("previous")
     size = lambda c: (F.col(c) <= 0) | (F.col(c) > MOST_CHUNK)
     reason = F.when(~valid_hash(F.col("hash")), "hash").when(last >= F.col("hash"), "order").when(size("raw_size") | size("compressed_size"), "length")
     reason = reason.when((F.col("codec") == "raw") & (F.col("raw_size") != F.col("compressed_size")), "raw length").when(~F.col("codec").isin("raw", "zstd"), "codec")
-    return records.select("seq", "hash", reason.alias("reason")).where("reason is not null")
+    return with_previous(records, ["seq"], "hash").select("seq", "hash", reason.alias("reason")).where("reason is not null")
 
 
 def bad_coverage(records: DataFrame, header: int = 8) -> DataFrame:

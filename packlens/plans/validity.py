@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import cas, validity
+from ..operators.numbering import numbered
 from ..sources.adapters import CHUNKS, FILES, PAGE_PATHS, files, page_paths, trace
 from .chunks import _STORED, chunks, stored
 from .register import query, table
@@ -51,11 +52,8 @@ def chunk_table_violations(spark, sf_dir):
 @query(f"""WITH {CHUNKS}, {_STORED}, rec AS (SELECT row_number() OVER (ORDER BY hash) AS seq, hash, raw_size, compressed_size, CASE WHEN ascii(hash) % 5 = 0 THEN 'raw' ELSE 'zstd' END AS codec FROM stored)
 SELECT seq, hash, 'raw length' AS reason FROM rec WHERE codec = 'raw' AND raw_size <> compressed_size""")
 def index_violations(spark, sf_dir):
-    from pyspark.sql import Window
-
     codec = F.when(F.ascii("hash") % 5 == 0, "raw").otherwise("zstd")
-    rec = stored(spark, sf_dir).withColumn("codec", codec).withColumn("seq", F.row_number().over(Window.orderBy("hash")).cast("long"))
-    return validity.bad_records(rec)
+    return validity.bad_records(numbered(stored(spark, sf_dir).withColumn("codec", codec), ["hash"], "seq"))
 
 
 @query("SELECT 0 AS pack_id, '' AS hash WHERE false")

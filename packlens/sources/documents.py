@@ -68,11 +68,11 @@ def strict(lines: DataFrame, schema: T.StructType, version: int | None = 1, text
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSON-lines files with seq, their place: file by file, line by line."""
-    from pyspark.sql import Window
+    from ..operators.numbering import numbered
 
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    numbered = lines.withColumn("seq", F.row_number().over(Window.orderBy("file", "line")).cast("long") - 1)
-    events = strict(numbered.select("seq", "value"), TRACE)
+    at = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", *at)
+    events = strict(numbered(lines, ["file", "block", "line"], "seq", 0).select("seq", "value"), TRACE)
     unsafe = (F.col("path") != "") & ~valid_path(F.col("path"))
     return events.withColumn("path", F.when(unsafe, F.raise_error(F.concat(F.lit("unsafe path: "), "path"))).otherwise(F.col("path")))
 
