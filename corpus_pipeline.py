@@ -26,15 +26,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the first by place in the table.
+    """One document of each near-duplicate class: that of the smallest doc_id.
 
     Rows are told apart by their place, which a Parquet table gives every reading alike, so that null
-    or repeated ids lose no document.
+    or repeated ids lose no document: a null id comes after all others, and place decides between equal
+    ones.
     """
     row = "_" * max(map(len, docs.columns)) + "row"
     placed = docs.withColumn(row, F.monotonically_increasing_id())
-    classes = near_duplicates(placed, id_col=row)
-    gone = classes.where("id <> component").select(F.col("id").alias(row))
+    classes = near_duplicates(placed, id_col=row).select(F.col("id").alias(row), "component")
+    named = classes.join(placed.select(row, "doc_id"), row)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))
+    first = named.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.row").alias("first"))
+    gone = classes.join(first, "component").where(F.col(row) != F.col("first")).select(row)
     return placed.join(gone, row, "left_anti").select(*docs.columns)
 
 

@@ -21,6 +21,7 @@ def test_stages(spark, docs, tmp_path):
     classes = {r["id"]: r["component"] for r in jaccard.near_duplicates(rows).collect()}
     kept = [classes[r["doc_id"]] for r in one.collect()]
     assert len(kept) == len(set(kept)) == len(set(classes.values()))
+    assert {r["doc_id"] for r in one.collect()} == set(classes.values())  # a class is named by its smallest id
     clean = p.without_secrets(spark, rows, SMALL)
     spans, _ = secrets.scan(clean)
     assert clean.count() == rows.count() and spans.where("size(spans) > 0").isEmpty()
