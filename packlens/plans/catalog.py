@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import cache, chunks, codecs, compare, formats, library, overlay, policy, profile, ranges, scalars, streams, trace, trees, trials, validity  # noqa: F401
+from . import cache, chunks, codecs, compare, formats, library, overlay, policy, profile, ranges, scalars, store, streams, trace, trees, trials, validity  # noqa: F401
 from .register import ORACLES, QUERIES  # noqa: F401

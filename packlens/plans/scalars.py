@@ -62,7 +62,7 @@ def number_functions(spark, sf_dir):
 def xorshift_offsets(spark, sf_dir):
     """Drawn and border offsets of read probes; tested against the generator in plain arithmetic."""
     d = files(spark, sf_dir).select("path", "size", "doc_id")
-    draw = numbers.xorshift_column(0x504C415953504152, F.col("doc_id") % 64 + 1)
+    draw = numbers.xorshift_column(0x9E3779B97F4A7C15, F.col("doc_id") % 64 + 1)
     return d.withColumn("draw", draw).withColumn("offset", numbers.probe_offset(F.col("doc_id") % 16, F.col("size"), F.col("draw"))).select("path", "size", "draw", "offset")
 
 

@@ -25,6 +25,12 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> Spark
     return builder.config(map=settings).getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine is a shared one."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> None:
     """Gives Python workers this package, once an application; they need no copy of their own."""
     context = spark.sparkContext

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 # Fixed values of the formats.
-MAGIC, PROMOTED_MAGIC, CODECS = b"PSPIDX01", b"PSPCACH1", ("raw", "zstd")
+MAGIC, PROMOTED_MAGIC, CODECS = b"PSPIDX01", b"PSPTIER1", ("raw", "zstd")
 HEADER, RECORD, MOST_OBJECT = 16, 56, 16 << 20
 _RECORD = struct.Struct("<32sIQIIB3s")
 SCHEMA = "hash string, pack_id long, pack_offset long, compressed_size long, raw_size long, codec string"
