@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import is_local, ship
 
 #: Arrow batches for Python workers hold at most so many rows and bytes, whatever a row's size.
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
@@ -29,7 +29,7 @@ def work_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.setdefault("base", f"file://{tempfile.mkdtemp(prefix='packlens-')}")
     path = f"{base.rstrip('/')}/packlens-{spark.sparkContext.applicationId}"
