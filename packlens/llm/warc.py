@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Saved, parts, prepare, remove, work_dir
 
-LEAST, ROLL_BYTES, SHARD_BYTES, SAMPLE = 1000, 32 << 20, 48 << 20, 10_000
+LEAST, ROLL_BYTES, SHARD_BYTES, SAMPLE = 1000, 32 << 20, 16 << 20, 10_000
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "name string, temporary string, bytes long, sha256 string, records long, first_id long, last_id long"
