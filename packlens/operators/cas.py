@@ -101,12 +101,12 @@ def place(stored: DataFrame, shard: str, size: str, by: tuple[str, ...], limit:
     return stored.groupBy(shard).applyInArrow(_place(limit, size, by), f"{kinds}, pack_id long, pack_offset long")
 
 
-def loose_path(digest, suffix: str = ".obj"):
-    """objects/ab/abcd... of a hex digest."""
-    return F.concat(F.lit("objects/"), F.substring(digest, 1, 2), F.lit("/"), digest, F.lit(suffix))
+def loose_path(digest, suffix: str = ".pso"):
+    """objects/ab/cd... of a hex digest abcd..."""
+    return F.concat(F.lit("objects/"), F.substring(digest, 1, 2), F.lit("/"), F.substring(digest, 3, 1 << 10), F.lit(suffix))
 
 
-def pack_name(pack_id, suffix: str = ".pack"):
+def pack_name(pack_id, suffix: str = ".psp"):
     return F.format_string("pack-%04d" + suffix, pack_id)
 
 

@@ -97,7 +97,7 @@ def pack_placement(spark, sf_dir):
     return cas.place(rows, "shard", "compressed_size", ("hash",), 4096)
 
 
-@query(f"""WITH {CHUNKS} SELECT hash, 'objects/' || substr(hash, 1, 2) || '/' || hash || '.obj' AS path, printf('pack-%04d.pack', (ascii(hash) % 50)::INT) AS pack
+@query(f"""WITH {CHUNKS} SELECT hash, 'objects/' || substr(hash, 1, 2) || '/' || substr(hash, 3) || '.pso' AS path, printf('pack-%04d.psp', (ascii(hash) % 50)::INT) AS pack
 FROM (SELECT DISTINCT hash FROM chunks)""")
 def object_layout(spark, sf_dir):
     h = chunks(spark, sf_dir).select("hash").distinct()

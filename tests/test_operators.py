@@ -324,3 +324,50 @@ def test_overlay_directories(spark):
     up, dead = overlay.make_directories(up, dead, spark.createDataFrame([("e", 9, 493)], "path string, id long, mode int"))
     assert [(r["path"], r["kind"]) for r in overlay.merge(base, up, dead).collect()] == [("e", "directory")]
     assert {r["path"] for r in dead.collect()} == {"d", "d/f"}
+
+
+def test_http_ranges(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from packlens.sources import remote
+
+    data, tries = bytes(range(200)), []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            start, end = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            body, status, total, extra = data[start : end + 1], 206, len(data), {}
+            tries.append(self.path)
+            if self.path == "/missing":
+                status, body = 404, b""
+            elif self.path == "/flaky" and tries.count("/flaky") < 2:
+                status, body = 503, b""
+            elif self.path == "/whole":
+                status = 200
+            elif self.path == "/short":
+                body = body[:-1]
+            elif self.path == "/total":
+                total += 1
+            elif self.path == "/gzip":
+                extra = {"Content-Encoding": "gzip"}
+            self.send_response(status)
+            self.send_header("Content-Range", f"bytes {start}-{end}/{total}")
+            self.send_header("Content-Length", str(len(body)))
+            for k, v in extra.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    names = ["good", "missing", "flaky", "whole", "short", "total", "gzip"]
+    wanted = spark.createDataFrame([(n, f"{base}/{n}", 10, 5, 200) for n in names] + [("gone", "http://127.0.0.1:1/x", 0, 1, 1)], "hash string, url string, start long, size long, total long")
+    got = {r["hash"]: r for r in remote.fetch_objects(wanted, retries=1, timeout=2.0).collect()}
+    server.shutdown()
+    assert {k: r["status"] for k, r in got.items()} == {"good": "ok", "missing": "not found", "flaky": "ok", "whole": "corrupt", "short": "corrupt", "total": "corrupt", "gzip": "corrupt", "gone": "unavailable"}
+    assert bytes(got["good"]["payload"]) == data[10:15] and (got["flaky"]["requests"], got["flaky"]["errors"]) == (2, 1) and got["gone"]["requests"] == 2
