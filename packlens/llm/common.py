@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import is_local, ship
 
 #: Arrow batches for Python workers hold at most so many rows and bytes, whatever a row's size.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 _own: dict[str, str] = {}
 
 

@@ -65,8 +65,8 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 def shingle_sets(texts: list[bytes | None], k: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingles of every text."""
     out: list[np.ndarray] = []
-    at, room = 0, 1 << 20
-    while at < len(texts):  # blocks of about a megabyte, or one longer text
+    at, room = 0, 1 << 18
+    while at < len(texts):  # blocks of a quarter megabyte, which stay in cache, or one longer text
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to] or b"") <= room):
             size += len(texts[to] or b"")

@@ -89,7 +89,7 @@ def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> t
                 part = np.frombuffer(text, np.uint8)[a : a + SEGMENT + length - 1]
                 put(part, np.array([len(part)]), [i], a, SEGMENT)
             continue
-        if size + len(text) > SEGMENT // 4:
+        if size + len(text) > SEGMENT // 16:
             flush()
         block.append(text)
         numbers.append(i)
