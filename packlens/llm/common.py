@@ -65,12 +65,16 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
 
 
 class Saved:
-    """A table written as Parquet in the shared folder: its lineage is cut, any executor can read it."""
+    """A table written as Parquet in the shared folder: its lineage is cut, any executor can read it.
 
-    def __init__(self, df: DataFrame, label: str = "t"):
+    ``files`` is the most files it should have, where its size is known to be small for the number of
+    shuffle partitions: each file costs its writer a few calls of the file system.
+    """
+
+    def __init__(self, df: DataFrame, label: str = "t", files: int | None = None):
         self.spark = df.sparkSession
         self.path = f"{work_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.coalesce(files) if files else df).write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved
+from .common import Saved, parts
+
+EDGES_PER_FILE = 250_000
 
 
 def _digest(df: DataFrame) -> tuple:
@@ -36,7 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = Saved(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a > b").distinct(), "edges")
     seen = _digest(now.df)
     while seen[0]:
-        new = Saved(_small(_large(now.df).where("a > b").distinct()).distinct(), "edges")
+        new = Saved(_small(_large(now.df).where("a > b").distinct()).distinct(), "edges", parts(seen[0], EDGES_PER_FILE))
         now.drop()
         now, last = new, seen
         seen = _digest(now.df)

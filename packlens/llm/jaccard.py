@@ -32,7 +32,7 @@ from .common import Saved, parts, prepare
 from .components import components
 from .shingles import mix, shingle_sets
 
-ENTRIES_PER_BUCKET = 1_000_000
+ENTRIES_PER_BUCKET, ROWS_PER_FILE = 1_000_000, 500_000
 BLOCK_ROWS, BLOCK_ENTRIES, BIN_ENTRIES = 2048, 1 << 20, 1 << 18
 
 
@@ -334,23 +334,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     stats = Saved(source.mapInArrow(_stats(k), "id long, n long, f1 long, f2 long"), "stats")
     sets = stats.df.where("n > 0").groupBy("f1").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    total, many = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = (parts(total // 2, per_bucket) - 1).bit_length()
 
     dealt = source.mapInArrow(_deal(k, num, den, bits), _DEALT)
     credit = dealt.groupBy("bucket").applyInArrow(_shared, "f1 long, credit long").groupBy("f1").agg(F.sum("credit").alias("credit"))
     least = F.expr(f"greatest(1, ({num} * n + {den} - 1) div {den} div 4)")
-    rest = Saved(sets.join(credit, "f1").where(F.col("credit") >= least).select("rep", "n"), "rest")
+    rest = Saved(sets.join(credit, "f1").where(F.col("credit") >= least).select("rep", "n"), "rest", parts(many, ROWS_PER_FILE))
     left = rest.df.agg(F.sum("n")).first()[0] or 0
     bits = (parts(left, per_bucket) - 1).bit_length()
     reps = rest.df.select("rep").distinct()
     blocks = Saved(source.join(reps, source["id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(_blocks(k), _BLOCKS), "blocks")
 
     answers = blocks.df.select("block", "keys").mapInArrow(_ask(bits), "bucket int, block long, keys binary, many binary").groupBy("bucket").applyInArrow(_answer, "block long, bucket int, ranks binary")
-    posts = Saved(blocks.df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rarest(num, den), "key long, f1 long"), "posts")
+    posts = Saved(blocks.df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rarest(num, den), "key long, f1 long"), "posts", parts(left, ROWS_PER_FILE))
     heads = posts.df.groupBy("key").agg(F.min("f1").alias("head"))
     clusters = components(posts.df.join(heads, "key").where("f1 <> head").select(F.col("f1").alias("a"), F.col("head").alias("b")))
-    rows = Saved(blocks.df.mapInArrow(_rows, "f1 long, n long, keys binary").join(clusters.select(F.col("node").alias("f1"), F.col("root").alias("cluster")), "f1"), "rows")
+    rows = Saved(blocks.df.mapInArrow(_rows, "f1 long, n long, keys binary").join(clusters.select(F.col("node").alias("f1"), F.col("root").alias("cluster")), "f1"), "rows", parts(left, ROWS_PER_FILE))
     posts.drop()
     sizes = rows.df.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("entries"))
     big = (F.col("many") > most_rows) | (F.col("entries") > most_entries)
