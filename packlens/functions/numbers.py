@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+# Offsets that a read probe begins with, at borders of chunks and of 4 GiB.
+BORDERS = (0, 262_143, 262_144, 4_294_967_295, 4_294_967_419, 8_589_934_591, 8_589_934_715)
 
 
 def parse_size(text: Column) -> Column:
@@ -71,6 +73,6 @@ def _mix(s: Column, shift, by: int) -> Column:
 def probe_offset(i: Column, size: Column, draw: Column) -> Column:
     """The i-th offset of a read probe: first what lies at chunk and 4 GiB borders and at the file's end,
     where it is in the file, then a drawn one."""
-    borders = F.array(*(F.lit(x).cast("long") for x in (0, 262_143, 262_144, 4_294_967_295, 4_294_967_419, 8_589_934_591, 8_589_934_715)), F.greatest(F.lit(0), size - 37), size, size + 1)
+    borders = F.array(*(F.lit(x).cast("long") for x in BORDERS), F.greatest(F.lit(0), size - 37), size, size + 1)
     border = F.get(borders, i.cast("int"))
     return F.when(border <= size + 1, border).otherwise(F.pmod(draw, F.greatest(F.lit(1), size)))

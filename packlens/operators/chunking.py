@@ -15,6 +15,7 @@ from ..session import ship
 MASK = (1 << 64) - 1
 
 
+# The seed of the gear table and the factors of the splitmix64 generator that fills it.
 def _gear(seed: int = 0xC0FFEE) -> list[int]:
     """256 words of the splitmix64 generator, each from its own seed."""
     out = []
