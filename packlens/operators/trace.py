@@ -21,8 +21,8 @@ def ratio(n: Column, d: Column) -> Column:
 
 
 def nearest_rank(value: str, p: int) -> Column:
-    """The element at place ceil(n * p / 100) in order; 0 of no elements."""
-    return F.coalesce(F.expr(f"percentile_disc({p / 100}) within group (order by {value})"), F.lit(0))
+    """The element at place ceil(n * p / 100) in the order of whole numbers; 0 of no elements."""
+    return F.coalesce(F.expr(f"percentile_disc({p / 100}) within group (order by {value})").cast("long"), F.lit(0))
 
 
 def is_read() -> Column:

@@ -163,7 +163,7 @@ def evidence_gate(spark, sf_dir):
 
 
 @query(f"""WITH {PAGE_PATHS}, f AS (SELECT path || (['', '.setup', '/Contents/x', ''])[page_id % 4 + 1] AS path, CASE WHEN page_id % 3 = 0 THEN 493 ELSE 420 END AS mode FROM page_paths)
-SELECT path, regexp_extract(path, '([^/]*)$', 1) AS label, greatest(0, 80 - 5 * (len(string_split(path, '/')) - 1)) AS rank FROM f
+SELECT path, regexp_extract(path, '([^/]*)$', 1) AS label, greatest(0, 80 - 5 * (len(string_split(path, '/')) - 1))::INT AS rank FROM f
 WHERE mode = 493 AND NOT contains(path, '.setup') AND NOT regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), 'uninstall|updater|crash|reporter|redist|setup|helper') AND NOT contains(path, '/Contents/') ORDER BY rank DESC, path LIMIT 30""")
 def launch_candidates(spark, sf_dir):
     i = F.col("page_id")
