@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.sequence import good_reads
-from ..sources.adapters import TRACE, as_trace
+from ..sources.adapters import TRACE, as_trace, nanoseconds
 from ..streaming import traces as op
 from .policy import _RUNS, TTL_MS
 from .register import query
@@ -27,6 +27,6 @@ def stream_sequences(spark, sf_dir):
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type AS op, count(*) AS events FROM events GROUP BY ALL""")
 def stream_window_counts(spark, sf_dir):
-    """Counts by day and kind; complete mode, so that the last windows are given too."""
-    events = op.open_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("op"))
-    return op.drain(op.windowed_counts(events, "1 day", "1 hour"), f"windows_{uuid.uuid4().hex}", "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "op", "events")
+    """Counts by day and kind, whatever the session's zone; complete mode, so that the last windows are given too."""
+    events = op.open_table(spark, sf_dir, "events").select(F.timestamp_micros((nanoseconds(F.col("ts")) / 1000).cast("long")).alias("ts"), F.col("event_type").alias("op"))
+    return op.drain(op.windowed_counts(events, "1 day", "1 hour"), f"windows_{uuid.uuid4().hex}", "complete").select(F.date_from_unix_date(F.expr("unix_micros(start) div 86400000000").cast("int")).cast("string").alias("day"), "op", "events")
