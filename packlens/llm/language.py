@@ -7,7 +7,9 @@ MOST_LANGUAGES times DICT_BYTES).
 
 What is compressed, in dictionaries and in texts, is the lower-cased text's letters with each distinct
 word once, in the order of their first occurrence: capitals, marks, numbers and repeated lines would
-else be matched within the text or not at all, and say nothing of its language.
+else be matched within the text or not at all, and say nothing of its language. Texts are compressed
+in blocks of BLOCK bytes, each with the whole dictionary, and the sizes summed: what a dictionary saves
+of one block is bounded, so that in one piece a long text's margin would shrink with its length.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 DICT_DOCS, PIECE, DICT_BYTES, MOST_LANGUAGES, LEVEL = 64, 2048, 1 << 17, 256, 9
+#: Bytes of distinct words that are compressed at a time.
+BLOCK = 1 << 14
 #: A text is rejected when the runner-up's size is within this share of the smallest.
 NARROW = 0.002
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,6 +63,11 @@ def _packers(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCo
     return found
 
 
+def _size(packer: zstandard.ZstdCompressor, raw: bytes) -> int:
+    """What all blocks of ``raw`` take."""
+    return sum(len(packer.compress(raw[at : at + BLOCK])) for at in range(0, len(raw), BLOCK))
+
+
 def _predict(dictionaries: dict[str, bytes], narrow: float):
     packers: list[tuple[str, zstandard.ZstdCompressor]] = []
 
@@ -72,7 +81,7 @@ def _predict(dictionaries: dict[str, bytes], narrow: float):
                     best, score = "und", 0.0
                 else:
                     raw = distinct_words(text)
-                    sizes = sorted((len(p.compress(raw)), name) for name, p in packers)
+                    sizes = sorted((_size(p, raw), name) for name, p in packers)
                     best = sizes[0][1]
                     score = 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]
                 langs.append(best)

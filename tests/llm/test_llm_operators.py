@@ -216,6 +216,20 @@ def test_language_of_odd_texts(spark, docs, no_docs, corpus):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["rejected"]}
 
 
+def test_margin_of_long_texts_does_not_shrink(spark):
+    rng = random.Random(8)
+    sounds = {"xx": ("ka", "to", "mi", "re", "su", "no"), "yy": ("ka", "to", "bel", "oft", "unk", "ri"), "zz": ("mi", "re", "ga", "lin", "éau", "ci")}
+    text = lambda lang, n: " ".join("".join(rng.choices(sounds[lang], k=rng.randint(2, 9))) for _ in range(n))
+    known = language.learn(spark.createDataFrame([(text(lang, 400), lang) for lang in sounds for _ in range(20)], "text string, lang string"))
+    rows = [(lang, n, text(lang, n)) for lang in sounds for n in (3_000, 30_000, 300_000)]
+    df = spark.createDataFrame(rows, "lang string, n long, text string")
+    got = {(r["lang"], r["n"]): r for r in language.predict(df, known, ["lang", "n"]).collect()}
+    for lang in sounds:
+        assert all(got[lang, n]["lang_pred"] == lang and not got[lang, n]["rejected"] for _, n, _ in rows[:3])
+        assert got[lang, 300_000]["score"] > got[lang, 3_000]["score"] / 3
+    assert language.keep_known(df, known).count() == len(rows)
+
+
 # 5: suffix-array dedup
 
 
