@@ -9,6 +9,8 @@ from ..functions.paths import ancestors, base_name, parent
 from .numbering import numbered
 
 ROOT_INODE = 1
+#: Generations of processes that are found one by one before pointers are doubled.
+PLAIN_ROUNDS = 8
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -59,12 +61,14 @@ def subtree_bytes(nodes: DataFrame) -> DataFrame:
     return below.groupBy("path").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def members(rows: DataFrame, known: DataFrame, group: int | None, root: tuple | None, rounds: int = 64) -> DataFrame:
+def members(rows: DataFrame, known: DataFrame, group: int | None, root: tuple | None) -> DataFrame:
     """The processes of a session in one snapshot: pid, birth.
 
     rows: pid, birth, parent, group. known: pid, birth of the members so far. A known process whose pid
     now has another birth is forgotten. Members are those of the group (unless the group's own pid has
-    been taken over, that is, is not ``root``), those still known, and all whose parent is a member.
+    been taken over, that is, is not ``root``), those still known, and all whose parent is a member, to
+    any depth: rounds end when one adds nothing. After PLAIN_ROUNDS of them each pid also has a pointer to
+    one ancestor, twice as far in each round, so that a chain takes as many more as its length has bits.
     """
     from ..sources.tables import cut
 
@@ -74,12 +78,27 @@ def members(rows: DataFrame, known: DataFrame, group: int | None, root: tuple |
         taken_over = leader.where(~((F.col("pid") == F.lit(root[0])) & (F.col("birth") == F.lit(root[1])))) if root else leader
         free = rows.join(taken_over.select(F.lit(1).alias("t")).limit(1), F.lit(True), "left_anti")
         kept = kept.unionAll(free.where(F.col("group") == group).select("pid", "birth"))
-    now = cut(kept.distinct())
+    now, far, done = cut(kept.distinct()), None, 0
     size = now.count()
-    for _ in range(rounds):
-        grown = rows.join(now.select(F.col("pid").alias("parent")), "parent", "left_semi").select("pid", "birth")
+    while True:
+        pids = now.select(F.col("pid").alias("parent"))
+        grown = rows.join(pids, "parent", "left_semi").select("pid", "birth")
+        if done >= PLAIN_ROUNDS:
+            far = cut(_first_pointers(rows) if far is None else _doubled(far))
+            below = far.join(pids, "parent", "left_semi").select("pid")
+            grown = grown.unionAll(rows.join(below, "pid", "left_semi").select("pid", "birth"))
         now = cut(now.unionAll(grown).distinct())
-        before, size = size, now.count()
+        before, size, done = size, now.count(), done + 1
         if size == before:
-            break
-    return now
+            return now
+
+
+def _first_pointers(rows: DataFrame) -> DataFrame:
+    """pid, parent: one parent, itself a process, of every pid that has any; a pid with several keeps the largest."""
+    above = rows.select(F.col("pid").alias("parent"))
+    return rows.where("parent <> pid").join(above, "parent", "left_semi").groupBy("pid").agg(F.max("parent").alias("parent"))
+
+
+def _doubled(far: DataFrame) -> DataFrame:
+    """Each pid with the pointer of what it points to; one that points to a pid without a pointer has none."""
+    return far.join(far.select(F.col("pid").alias("parent"), F.col("parent").alias("next")), "parent").select("pid", F.col("next").alias("parent"))

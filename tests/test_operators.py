@@ -246,6 +246,19 @@ def test_process_members(spark):
     assert tree.members(reused, second, 100, (100, 1)).count() == 0
 
 
+def test_process_members_of_long_chains(spark):
+    chain = [(i, i + 7, i - 1, 0) for i in range(1, 501)]
+    forks = [(10_000 + i, 1, 10 * i, 0) for i in range(1, 51)]
+    twice = [(i, 5, 900_000 + i, 0) for i in range(100, 400, 3)]  # a pid with two rows, one of an unknown parent
+    loop = [(20_000 + i, 1, 20_000 + (i + 1) % 300, 0) for i in range(300)]
+    rows = spark.createDataFrame([*chain, *forks, *twice, *loop], "pid long, birth long, parent long, group long")
+    known = spark.createDataFrame([(101, 108), (20_005, 1), (20_100, 2)], "pid long, birth long")
+    got = sorted(tuple(r) for r in tree.members(rows, known, None, None).collect())
+    below = {p for p, *_ in chain if p >= 101}
+    want = {(p, b) for p, b, *_ in [*chain, *twice] if p in below and (p, b) != (100, 5)} | {(p, b) for p, b, above, _ in forks if above in below} | {(p, b) for p, b, *_ in loop}
+    assert got == sorted(want)
+
+
 def test_validity(spark):
     files = spark.createDataFrame([("a/x", 5), ("b", 0)], "path string, size long")
     chunks = spark.createDataFrame([("a/x", 0, 0, 3), ("a/x", 1, 3, 2)], "path string, ordinal long, offset long, raw_size long")
