@@ -25,8 +25,15 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
     ("hex", r"[0-9a-f]+", 24, 0),
 )
+#: What stands between the lines of a key, be they quoted or joined by written-out line ends.
+_BREAK = r"""(?:\\[nr]|[\s"'>,#*])++"""
+#: From BEGIN to the END of the same label with no other mark between; else to the end of the headers and base64 behind BEGIN, if any.
+_PEM = (
+    r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END \1PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Za-z][A-Za-z-]*+:\x20?[^\s\\]++)*+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+)++(?:={{1,2}}|{_BREAK}[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=[\x20\t]*(?:[\r\n\\\x22']|$))))?)?"
+)
 MORE = (
-    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 1, 0),
+    ("pem", _PEM, 1, 0),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", 1, 0),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0),

@@ -515,3 +515,20 @@ def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert got[0] == "[assign] and more"[:8] + '" and more' and got[14] is None and got[15] == "" and got[8] == "a" * 23
     assert got[7] == "é" * 9 + " secret=ééé [assign]" and got[2] == "[assign]" and got[6] == "[hex]"
+
+
+def test_private_keys_go_as_a_whole(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("ABCDEFabcdef0123456789+/", k=64)) for _ in range(6)] + ["Qk9"]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    keys = [
+        "\n".join([begin, *lines, end]), "\r\n".join([begin, *lines, end]), "\\n".join([begin, *lines, end]), f"{begin}\n{headers}" + "\n".join([*lines, end]),
+        "\n".join([begin, *lines]), "\\n".join([begin, *lines]), f"{begin}\n{headers}" + "\n".join([*lines[:-1], "Qg=="]), " ".join([begin, *lines[:-1], "Qg=="]), "\n> ".join([begin, *lines]), begin,
+    ]
+    rest = "\nand then some words more"
+    texts = [f"here: {k}{rest}" for k in keys] + [f"{begin} opens a key{rest}", f"{keys[4]}\n{keys[0]}{rest}", (begin + "\n") * 2_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert all(got[i] == f"here: [pem]{rest}" for i in range(len(keys)))
+    assert got[len(keys)] == f"[pem] opens a key{rest}" and got[len(keys) + 1] == f"[pem]\n[pem]{rest}" and got[len(keys) + 2] == "[pem]\n" * 2_000
