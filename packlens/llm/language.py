@@ -27,6 +27,8 @@ from .common import prepare
 DICT_DOCS, PIECE, DICT_BYTES, MOST_LANGUAGES, LEVEL = 64, 2048, 1 << 17, 256, 9
 #: Bytes of distinct words that are compressed at a time.
 BLOCK = 1 << 14
+#: Bytes of distinct words up to which equal sizes are told apart by matches.
+SHORT = 2048
 #: A text is rejected when the runner-up's size is within this share of the smallest.
 NARROW = 0.002
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,6 +70,17 @@ def _size(packer: zstandard.ZstdCompressor, raw: bytes) -> int:
     return sum(len(packer.compress(raw[at : at + BLOCK])) for at in range(0, len(raw), BLOCK))
 
 
+def _unlike(dictionary: bytes, raw: bytes) -> float:
+    """The mean over the bytes of ``raw`` of 1 / (1 + length of the longest match in the dictionary that begins there)."""
+    total, end = 0.0, 0
+    for at in range(len(raw)):
+        end = max(end, at)
+        while end < len(raw) and raw[at : end + 1] in dictionary:
+            end += 1
+        total += 1 / (1 + end - at)
+    return total / len(raw)
+
+
 def _predict(dictionaries: dict[str, bytes], narrow: float):
     packers: list[tuple[str, zstandard.ZstdCompressor]] = []
 
@@ -84,6 +97,9 @@ def _predict(dictionaries: dict[str, bytes], narrow: float):
                     sizes = sorted((_size(p, raw), name) for name, p in packers)
                     best = sizes[0][1]
                     score = 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]
+                    if len(sizes) > 1 and sizes[0][0] == sizes[1][0] and len(raw) <= SHORT:
+                        finer = sorted((_unlike(dictionaries[name], raw), name) for size, name in sizes if size == sizes[0][0])
+                        best, score = finer[0][1], 1.0 - finer[0][0] / finer[1][0]
                 langs.append(best)
                 scores.append(score)
                 rejected.append(best == "und" or len(packers) > 1 and score < narrow)
@@ -97,7 +113,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], te
     """Columns ``keep`` of every row with lang_pred, score and rejected; only the text is looked at.
 
     score is the share by which the smallest encoding undercuts the next (1 with one language);
-    equal sizes go to the first language by name. A null text, one without a letter, or any text when
+    equal sizes of a short text are told apart by its matches in the dictionaries (_unlike, of which score
+    is then the share), else they go to the first language by name. A null text, one without a letter, or any text when
     nothing was learned is ``und`` with score 0. Those and narrow margins are rejected. Columns of
     ``keep`` named lang_pred, score, rejected, text or letter must be renamed before.
     """

@@ -230,6 +230,16 @@ def test_margin_of_long_texts_does_not_shrink(spark):
     assert language.keep_known(df, known).count() == len(rows)
 
 
+def test_short_texts_do_not_tie(spark):
+    words = {"xx": ("kato", "mire", "tosu"), "yy": ("belo", "unka", "rofi")}
+    rng = random.Random(2)
+    known = {lang: language.distinct_words(" ".join("".join(rng.choices(w, k=2)) for _ in range(40)) + " " + " ".join(w)) for lang, w in words.items()}
+    rows = [(w, lang) for lang in words for w in words[lang]] + [("Qqqq.", "none")]
+    got = {r["text"]: r for r in language.predict(spark.createDataFrame(rows, "text string, lang string").withColumn("own", F.col("text")), known, ["own"]).withColumnRenamed("own", "text").collect()}
+    assert all(got[w]["lang_pred"] == lang and not got[w]["rejected"] and 0 < got[w]["score"] <= 1 for w, lang in rows[:-1])
+    assert got["Qqqq."]["rejected"]  # like no language
+
+
 # 5: suffix-array dedup
 
 
