@@ -7,11 +7,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import is_local, ship
 
 #: Arrow batches for Python workers hold at most so many rows and bytes, whatever a row's size.
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+#: A key with more than one in so many rows is hot; there cannot be more such keys than this.
+HOT = 10_000
 _own: dict[str, str] = {}
 
 
@@ -81,6 +84,19 @@ class Saved:
         remove(self.spark, self.path)
 
 
+def join_unique(rows: DataFrame, facts: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, null where it has none; ``facts`` has each key once.
+
+    ``weight`` says how many of ``rows`` a key has; null means few. A key that has more than one in HOT of
+    all rows would fill a task: there are at most HOT such keys, whatever the size of the tables, and
+    they go by broadcast. The others are joined by key. Keys must not be null in ``facts``.
+    """
+    hot = F.col(weight) > F.greatest(F.lit(rows.count()) / HOT, F.lit(1))
+    few = F.broadcast(facts.where(hot))
+    by_key = rows.join(few.select(*on), on, "left_anti").join(facts.where(~F.coalesce(hot, F.lit(False))), on, "left")
+    return rows.join(few, on).unionByName(by_key)
+
+
 def parts(n: int, unit: int, least: int = 1) -> int:
     """How many parts of about ``unit`` make up ``n``."""
     return max(least, -(-int(n or 0) // unit))

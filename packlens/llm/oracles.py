@@ -27,7 +27,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
-OP5_SQL = """
+OP5_SQL = r"""
 WITH bytes AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), starts AS (
@@ -45,8 +45,16 @@ WITH bytes AS (
   SELECT c.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
          string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
   FROM cut c JOIN bytes USING (doc_id) GROUP BY c.doc_id
+), words AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS w FROM documents
+), strings AS (
+  SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + 49], '') || regexp_extract(w[i + 50], '[^\x20\x09-\x0D]+')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 49)) AS i FROM words WHERE len(w) >= 51)
+  UNION ALL SELECT DISTINCT doc_id, k FROM starts
+), passages AS (
+  SELECT DISTINCT doc_id FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)
 )
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256, doc_id IN (FROM passages) AS repeats_passage
 FROM bytes LEFT JOIN kept USING (doc_id)
 """
 

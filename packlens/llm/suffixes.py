@@ -2,14 +2,15 @@
 starts somewhere else.
 
 A whole corpus has too many suffixes to sort at once, and all but a few begin nothing that is repeated.
-So each window of LENGTH bytes names the least hash among the GRAM-byte strings in it as its anchor;
-equal windows have equal anchors. Windows whose anchor occurs at one place only are unique and go no
+So each window names the least hash among the GRAM-byte strings in it as its anchor; a window is
+LENGTH bytes or WORDS words, whichever is shorter. Equal strings of LENGTH bytes, and equal strings of
+WORDS words, have equal anchors. Windows whose anchor occurs at one place only are unique and go no
 further. The others are dealt out by anchor: equal windows meet in one bucket, each in exactly one.
 
 A bucket's windows are suffixes of its fragments, sorted in two stages: suffixes smaller than their
 successors directly, by their bytes; the rest by scanning the buckets of first bytes in order, each
-entry placing its predecessor. Adjacent common prefixes of LENGTH or more are repeats. They are
-computed only where a suffix does not stand right behind the neighbour of the one before it, or where the
+entry placing its predecessor. Adjacent common prefixes of LENGTH or more are repeats, which are removed;
+those of WORDS whole words between two documents are passages, which are reported. They are computed only where a suffix does not stand right behind the neighbour of the one before it, or where the
 one before shares nothing with its neighbour; elsewhere they are one less than the last.
 
 Texts that are equal as a whole are one text with a multiplicity; fragments that are equal are sorted
@@ -25,45 +26,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, parts, prepare
-from .shingles import _BASE, _BYTE, _INVERSE, _power, mix
+from .common import Saved, join_unique, parts, prepare
+from .shingles import _BASE, _BYTE, _INVERSE, _SPACE, _power, mix
 
-LENGTH, GRAM, BUCKET_BYTES, BLOCK_BYTES, SEGMENT = 400, 64, 8 << 20, 1 << 20, 1 << 22
+LENGTH, WORDS, GRAM, BUCKET_BYTES, BLOCK_BYTES, SEGMENT = 400, 51, 64, 8 << 20, 1 << 20, 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def _anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window start of ``raw``: its anchor's place, and the hashes of all grams."""
+def window_ends(raw: np.ndarray, ends: np.ndarray, length: int, words: int) -> np.ndarray:
+    """For every place of texts put one after the other: where its window ends, LENGTH bytes on or behind
+    the WORDS-th word, counted from the word the place is in or before; 0 where its text ends before."""
     n = len(raw)
+    inside = ~_SPACE[raw]
+    last = inside.copy()  # the last byte of a word
+    last[:-1] &= ~inside[1:]
+    at_end = ends[ends > 0] - 1
+    last[at_end] = inside[at_end]
+    word_ends = np.append(np.flatnonzero(last) + 1, np.full(words, 1 << 60))
+    ended = np.cumsum(last) - last  # words that end before this place
+    text_end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+    stop = np.minimum(np.arange(length, n + length), word_ends[ended + (words - 1)])
+    return np.where(stop <= text_end, stop, 0)
+
+
+def _least(key: np.ndarray, first: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The least of ``wide`` values of ``key`` from each of ``first`` on: two overlapping powers of two."""
+    out = np.empty(len(first), key.dtype)
+    now, span = key, 1
+    low, high = (wide.min(), wide.max()) if len(wide) else (0, 0)
+    while len(first):
+        if 2 * span > low:
+            here = np.flatnonzero((wide >= span) & (wide < 2 * span))
+            out[here] = np.minimum(now[first[here]], now[first[here] + wide[here] - span])
+        if 2 * span > high:
+            break
+        now, span = np.minimum(now[:-span], now[span:]), span * 2
+    return out
+
+
+def _anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The window starts of the texts in ``raw``, their anchors' places, and the hashes of all grams."""
+    n = len(raw)
+    stop = window_ends(raw, ends, length, words)
+    starts = np.flatnonzero(stop)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * _power(_BASE, n), out=total[1:])
     hashes = mix((total[gram:] - total[: n - gram + 1]) * _power(_INVERSE, n)[: n - gram + 1])
     key = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
-    wide = length - gram + 1
-    pad = np.full(-(-len(key) // wide) * wide, np.uint64(2**64 - 1))
-    pad[: len(key)] = key
-    blocks = pad.reshape(-1, wide)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - length + 1
-    return (np.minimum(behind[:starts], ahead[wide - 1 : wide - 1 + starts]) & _LOW).astype(np.int64), hashes
+    return starts, (_least(key, starts, stop[starts] - starts - (gram - 1)) & _LOW).astype(np.int64), hashes
 
 
-def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, words: int = WORDS) -> tuple[np.ndarray, ...]:
     """text number, first window start, number of windows, anchor place and anchor hash of every run of
     consecutive windows with one anchor. Texts shorter than a window have none."""
+    least = min(length, 2 * words - 1)
     out: list[list] = [[], [], [], [], []]
 
     def put(raw: np.ndarray, ends: np.ndarray, numbers: list[int], offset: int, limit: int | None) -> None:
-        if len(raw) < length:
+        if len(raw) < least:
             return
-        at, hashes = _anchors(raw, length, gram)
-        starts = np.arange(len(at))
-        text = np.searchsorted(ends, starts, side="right")
-        good = starts + length <= ends[np.minimum(text, len(ends) - 1)]
+        starts, at, hashes = _anchors(raw, ends, length, gram, words)
         if limit is not None:
-            good &= starts < limit
-        starts, text, at = starts[good], text[good], at[good]
+            starts, at = starts[starts < limit], at[starts < limit]
+        text = np.searchsorted(ends, starts, side="right")
         if not len(starts):
             return
         new = np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)))
@@ -82,11 +107,11 @@ def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> t
         block, numbers, size = [], [], 0
 
     for i, text in enumerate(texts):
-        if len(text) < length:
+        if len(text) < least:
             continue
         if len(text) > SEGMENT:
-            for a in range(0, len(text) - length + 1, SEGMENT):
-                part = np.frombuffer(text, np.uint8)[a : a + SEGMENT + length - 1]
+            for a in range(0, len(text) - least + 1, SEGMENT):
+                part = np.frombuffer(text, np.uint8)[a : a + SEGMENT + length]
                 put(part, np.array([len(part)]), [i], a, SEGMENT)
             continue
         if size + len(text) > SEGMENT // 16:
@@ -171,9 +196,14 @@ def two_stage_order(text: bytes, ends: np.ndarray, wanted: np.ndarray) -> np.nda
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def repeated_starts(fragments: list[bytes], windows: list[int], twice: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each fragment, which of its first ``windows`` places begin a string of ``length`` bytes that
-    begins at another place of any of them too. Where ``twice`` is set, all do."""
+def repeated_starts(fragments: list[bytes], windows: list[int], twice: np.ndarray, owner: np.ndarray, at_word: np.ndarray, length: int = LENGTH, words: int = WORDS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Two things of the first ``windows`` places of each fragment: which of them begin a string of
+    ``length`` bytes that begins at another of these places too; and whether another owner's fragment
+    has such a string as well, or the window that begins with a word at one of them.
+
+    ``twice`` marks fragments that stand for several equal ones; ``owner`` numbers the text a fragment is
+    from, below 0 if it is from several; ``at_word`` says whether no word runs into its first byte.
+    """
     text = b"".join(fragments)
     ends = np.cumsum([len(f) for f in fragments])
     begins = ends - [len(f) for f in fragments]
@@ -209,7 +239,37 @@ def repeated_starts(fragments: list[bytes], windows: list[int], twice: np.ndarra
     hit = (lcp >= length) & (prior >= 0)
     long[places[hit]] = True
     long[prior[hit]] = True
-    return [np.ones(m, bool) if both else long[a : a + m] for a, m, both in zip(begins.tolist(), windows, twice)]
+    sure = end - places >= length
+    number = np.searchsorted(ends, places, side="right")
+    long[places[sure & twice[number]]] = True
+
+    raw = np.frombuffer(text, np.uint8)
+    wide = window_ends(raw, ends, length, words)
+    wide = np.where(wide > 0, wide - np.arange(len(raw)), 0)
+    blank = _SPACE[raw]
+    starts = ~blank
+    starts[1:] &= blank[:-1]
+    starts[begins] = at_word & ~blank[begins]
+    of = np.searchsorted(ends, order, side="right")
+    by_order = np.full(len(text), -1, dtype=np.int64)
+    by_order[places] = lcp
+    by_order = by_order[order]
+    # windows that are equal: neighbours among those of one size, with no less in common all the way between
+    some = np.flatnonzero((wanted & (wide > 0) & starts)[order])
+    some = some[np.argsort(wide[order[some]], kind="stable")]
+    size = wide[order[some]]
+    one = np.flatnonzero(size[1:] == size[:-1])
+    a, b = some[:-1][one], some[1:][one]
+    same = _least(by_order, a + 1, b - a) >= size[one]
+    long_ones = np.flatnonzero(by_order >= length)
+    p, q = of[np.concatenate((a[same], long_ones - 1))], of[np.concatenate((b[same], long_ones))]
+    met = (owner[p] != owner[q]) | (owner[p] < 0)
+    passage = np.zeros(len(fragments), dtype=bool)
+    passage[p[met]] = True
+    passage[q[met]] = True
+    for shared in (of[some], number[sure]):  # what several texts have as a whole
+        passage[shared[owner[shared] < 0]] = True
+    return [long[a : a + m] for a, m in zip(begins.tolist(), windows)], passage
 
 
 def _common(text: bytes, i: int, j: int, most: int) -> int:
@@ -239,7 +299,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _ONCE, _AGAIN, _SETTLED = 0, 1, 2
 
 
-def _find_anchors(length: int, gram: int):
+def _find_anchors(length: int, gram: int, words: int):
     """Occurrences of anchors. Those met twice in a batch are settled there: what travels on by anchor is
     one row a batch, however often a line or passage occurs."""
 
@@ -247,7 +307,7 @@ def _find_anchors(length: int, gram: int):
         for batch in batches:
             content, seen = batch.column("content").to_numpy(), set()
             texts = [b"" if c in seen or seen.add(c) else t for c, t in zip(content.tolist(), batch.column("text").cast(pa.binary()).to_pylist())]
-            number, _, _, place, hashes = anchor_runs(texts, length, gram)
+            number, _, _, place, hashes = anchor_runs(texts, length, gram, words)
             order = np.argsort(hashes, kind="stable")
             hashes, number, place = hashes[order], number[order], place[order]
             new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
@@ -261,60 +321,74 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
-_FRAGMENTS = "bucket int, anchor long, windows int, fragment binary, contents binary, starts binary"
+_FRAGMENTS = "bucket int, anchor long, windows int, at_word boolean, fragment binary, owners binary"
+_SEPARATORS = frozenset(np.flatnonzero(_SPACE).tolist())
+
 
+def _cut(length: int, gram: int, words: int, buckets: int):
+    """The fragments around shared anchors, equal ones of a batch once, with their owners' content, check and start."""
 
-def _cut(length: int, gram: int, buckets: int):
     def run(batches):
         for batch in batches:
-            content = batch.column("content").to_pylist()
+            content, check = batch.column("content").to_pylist(), batch.column("check").to_pylist()
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             wanted = [set(p) for p in batch.column("places").to_pylist()]
             held: dict[tuple, list] = {}
-            for i, start, many, place, anchor in zip(*(x.tolist() for x in anchor_runs(texts, length, gram))):
+            for i, start, many, place, anchor in zip(*(x.tolist() for x in anchor_runs(texts, length, gram, words))):
                 if place in wanted[i]:
-                    held.setdefault((anchor, many, texts[i][start : start + many + length - 1]), []).append((content[i], start))
+                    at_word = start == 0 or texts[i][start - 1] in _SEPARATORS
+                    held.setdefault((anchor, many, at_word, texts[i][start : start + many + length - 1]), []).append((content[i], check[i], start))
             rows: list[list] = [[] for _ in range(6)]
-            for (anchor, many, fragment), owners in held.items():
-                owners = np.array(owners, dtype=np.int64)
-                for column, x in zip(rows, (anchor % buckets, anchor - (1 << 64) if anchor >> 63 else anchor, many, fragment, owners[:, 0].tobytes(), owners[:, 1].tobytes())):
+            for (anchor, many, at_word, fragment), owners in held.items():
+                for column, x in zip(rows, (anchor % buckets, anchor - (1 << 64) if anchor >> 63 else anchor, many, at_word, fragment, np.array(owners, dtype=np.int64).tobytes())):
                     column.append(x)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["bucket", "anchor", "windows", "fragment", "contents", "starts"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["bucket", "anchor", "windows", "at_word", "fragment", "owners"])
 
     return run
 
 
-def _sort_bucket(length: int, block: int):
+def _sort_bucket(length: int, words: int, block: int):
+    """content, check, start and end of what is to be removed; a start of -1 says that the text has a passage."""
+
     def run(table: pa.Table) -> pa.Table:
         held: dict[tuple, set] = {}
-        for anchor, many, fragment, contents, starts in zip(*(table.column(c).to_pylist() for c in ("anchor", "windows", "fragment", "contents", "starts"))):
-            held.setdefault((anchor, many, fragment), set()).update(zip(np.frombuffer(contents, np.int64).tolist(), np.frombuffer(starts, np.int64).tolist()))
+        for anchor, many, at_word, fragment, owners in zip(*(table.column(c).to_pylist() for c in ("anchor", "windows", "at_word", "fragment", "owners"))):
+            held.setdefault((anchor, many, at_word, fragment), set()).update(map(tuple, np.frombuffer(owners, np.int64).reshape(-1, 3).tolist()))
         keys = sorted(held, key=lambda k: k[0])
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
+        number: dict[tuple, int] = {}
         at = 0
         while at < len(keys):  # whole anchors, about a block at a time
             to, size = at, 0
             while to < len(keys) and (size < block or keys[to][0] == keys[to - 1][0]):
-                size += len(keys[to][2])
+                size += len(keys[to][3])
                 to += 1
             part = keys[at:to]
-            owners = [list(held[k]) for k in part]
-            masks = repeated_starts([k[2] for k in part], [k[1] for k in part], np.array([len(o) > 1 for o in owners]), length)
-            for mask, own in zip(masks, owners):
+            owners = [np.array(list(held[k]), dtype=np.int64) for k in part]
+            single = [(o[:, :2] == o[0, :2]).all() for o in owners]
+            owner = np.array([number.setdefault(tuple(o[0, :2].tolist()), len(number)) if one else -1 for o, one in zip(owners, single)])
+            masks, passage = repeated_starts([k[3] for k in part], [k[1] for k in part], np.array([len(o) > 1 for o in owners]), owner, np.array([k[2] for k in part]), length, words)
+            for mask, has, own in zip(masks, passage, owners):
+                if has:
+                    for column, x in zip(out, (own[:, 0], own[:, 1], np.full(len(own), -1), np.full(len(own), -1))):
+                        column.append(x)
                 if mask.any():
                     first, last = _runs(mask)
-                    own = np.array(own, dtype=np.int64)
-                    out[0].append(np.repeat(own[:, 0], len(first)))
-                    out[1].append((own[:, 1][:, None] + first).ravel())
-                    out[2].append((own[:, 1][:, None] + last + (length - 1)).ravel())
+                    for column, x in zip(out, (np.repeat(own[:, 0], len(first)), np.repeat(own[:, 1], len(first)), (own[:, 2][:, None] + first).ravel(), (own[:, 2][:, None] + last + (length - 1)).ravel())):
+                        column.append(x)
             at = to
-        return pa.table({n: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for n, c in zip(("content", "start", "end"), out)})
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+        if len(columns[0]):  # a text has a passage once
+            mark = columns[2] < 0
+            seen = np.unique(np.stack([c[mark] for c in columns], axis=1), axis=0)
+            columns = [np.concatenate((c[~mark], seen[:, i])) for i, c in enumerate(columns)]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("content", "check", "start", "end"), columns)})
 
     return run
 
 
-_KEPT = "content long, removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
+_KEPT = "content long, check long, passage boolean, removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
 
 
 def _remove(keep_bytes: bool):
@@ -334,33 +408,44 @@ def _remove(keep_bytes: bool):
                 rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 removed.append(len(text) - len(rest))
                 spans.append([{"start": a, "end": b} for a, b in own])
-                kept.append(rest if keep_bytes else None)
+                kept.append(rest if keep_bytes and own else None)
                 digests.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(digests)], names=["content", "removed", "spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("content"), batch.column("check"), batch.column("passage"), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(digests)], names=["content", "check", "passage", "removed", "spans", "kept", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False, bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int = WORDS, keep_bytes: bool = False, bucket_bytes: int = BUCKET_BYTES, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row a document: id, n_bytes, removed, spans (start and end of what is removed), kept (bytes,
-    where asked for and something is removed), kept_sha256.
+    where asked for and something is removed), kept_sha256, passage.
 
     Texts are UTF-8 bytes, null is empty; strings do not cross documents, and both places of a repeat
     are removed, in one document too. A text that occurs in several rows is removed whole if it is
-    ``length`` bytes or more; shorter texts are left alone. Null and repeated ids are allowed; other
-    columns are ignored. An empty table gives an empty result. Very long texts are cut into overlapping
-    segments for the search of anchors only; their windows are the same.
+    ``length`` bytes or more; shorter texts are left alone.
+
+    ``passage`` says whether another document has ``words`` whole words of this one as well, in a row
+    and with the same bytes between, or any ``length`` bytes; what is shorter is reported, not removed.
+
+    Null and repeated ids are allowed; other columns are ignored. An empty table gives an empty result.
+    Very long texts are cut into overlapping segments for the search of anchors only; their windows are
+    the same. Texts are told apart by 128 bits of their SHA-256.
     """
+    if min(length, 2 * words - 1) < gram:
+        raise ValueError("a window must be no shorter than a gram")
     spark = docs.sparkSession
     prepare(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.sha2("text", 256)
-    rows = Saved(source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("sha"), F.xxhash64(digest).alias("content")), "contents")
-    copies = rows.df.groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    long = source.where(F.octet_length("text") >= length).select("id", "text", F.xxhash64(digest).alias("content"))
-
-    anchors = Saved(long.select("content", "text").mapInArrow(_find_anchors(length, gram), "anchor long, content long, place long, kind int"), "anchors")
+    least, size = min(length, 2 * words - 1), F.octet_length("text")
+    # of texts shorter than the length, which are removed by no repeat, whether they hold a passage when repeated whole
+    passage_long = (size >= length) | F.when(size >= least, F.size(F.split(F.regexp_replace("text", "^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$", ""), "[ \\x09-\\x0D]+")) >= words).otherwise(False)
+    rows = Saved(source.select("id", size.cast("long").alias("n_bytes"), passage_long.alias("long_enough"), digest.alias("sha")).withColumn("content", F.xxhash64("sha")).withColumn("check", F.xxhash64(F.lit(1), "sha")), "contents")
+    copies = rows.df.groupBy("content", "check").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    long = source.where(size >= least).select("id", "text", F.xxhash64(digest).alias("content"), F.xxhash64(F.lit(1), digest).alias("check"))
+
+    anchors = Saved(long.select("content", "text").mapInArrow(_find_anchors(length, gram, words), "anchor long, content long, place long, kind int"), "anchors")
     open_ = anchors.df.where(F.col("kind") != _SETTLED)
     shared = open_.groupBy("anchor").agg(F.max("kind").alias("kind"), F.min("content").alias("a"), F.max("content").alias("b"), F.min("place").alias("c"), F.max("place").alias("d")).where(f"kind = {_AGAIN} or a <> b or c <> d").select("anchor")
     found = open_.where(F.col("kind") == _ONCE).join(shared, "anchor", "left_semi").unionByName(anchors.df.where(F.col("kind") == _SETTLED))
@@ -368,19 +453,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors.drop()
     total = places.df.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = parts(total * (length + (length - gram) // 2), bucket_bytes)
-    asked = places.df.join(copies, "content").select(F.col("content").alias("__content"), "rep", "places")
-    texts = Saved(long.join(asked, (long["content"] == asked["__content"]) & long["id"].eqNullSafe(asked["rep"])).select("content", "text", "places"), "texts")
-    fragments = texts.df.mapInArrow(_cut(length, gram, buckets), _FRAGMENTS)
-    cover = fragments.groupBy("bucket").applyInArrow(_sort_bucket(length, block_bytes), "content long, start long, end long")
-    cover = cover.groupBy("content").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
-    single = copies.where("copies = 1").select("content")
-    changed = Saved(texts.df.select("content", "text").join(single, "content", "left_semi").join(cover, "content").mapInArrow(_remove(keep_bytes), _KEPT), "kept")
+    asked = places.df.join(copies, "content").select(F.col("content").alias("c"), F.col("check").alias("k"), "rep", "places")
+    texts = Saved(long.join(asked, (F.col("content") == F.col("c")) & (F.col("check") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).select("content", "check", "text", "places"), "texts")
+    fragments = texts.df.mapInArrow(_cut(length, gram, words, buckets), _FRAGMENTS)
+    spans = fragments.groupBy("bucket").applyInArrow(_sort_bucket(length, words, block_bytes), "content long, check long, start long, end long")
+    span = F.when(F.col("start") >= 0, F.struct("start", "end"))
+    cover = spans.groupBy("content", "check").agg(F.collect_list(span).alias("cover"), F.max(F.col("start") < 0).alias("passage"))
+    changed = Saved(texts.df.select("content", "check", "text").dropDuplicates(["content", "check"]).join(cover, ["content", "check"]).mapInArrow(_remove(keep_bytes), _KEPT), "kept")
     for done in (places, texts):
         done.drop()
 
-    again = copies.where("copies > 1").select("content", F.lit(True).alias("again"))
-    out = rows.df.join(again, "content", "left").join(changed.df, "content", "left")
-    whole = F.coalesce("again", F.lit(False)) & (F.col("n_bytes") >= length)
+    # what is said of a text in several rows is of a fixed size: they are the ones that may be hot
+    once = [F.when(F.col("copies").isNull(), F.col(c)).alias(c) for c in ("removed", "spans", "kept", "kept_sha256")]
+    facts = copies.where("copies > 1").select("content", "check", "copies").join(changed.df, ["content", "check"], "full").select("content", "check", "copies", "passage", *once)
+    out = join_unique(rows.df, facts, ["content", "check"], "copies")
+    again = F.coalesce(F.col("copies") > 1, F.lit(False))
+    whole = again & (F.col("n_bytes") >= length)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return out.select(
@@ -390,10 +478,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(whole, all_of_it).otherwise(F.coalesce("spans", none)).alias("spans"),
         F.when(whole, F.lit(b"") if keep_bytes else F.lit(None).cast("binary")).otherwise(F.col("kept")).alias("kept"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        (F.coalesce("passage", F.lit(False)) | (again & F.col("long_enough"))).alias("passage"),
     )
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and whether it has a passage of
+    over 50 words that another document has as well (repeats_passage), which may be too short to be removed."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", F.col("removed").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", F.col("removed").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", F.col("passage").alias("repeats_passage"))
