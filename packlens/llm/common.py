@@ -14,7 +14,7 @@ from ..session import is_local, ship
 #: Arrow batches for Python workers hold at most so many rows and bytes, whatever a row's size.
 BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 #: A key with more than one in so many rows is hot; there cannot be more such keys than this.
-HOT = 10_000
+HOT, SALTS = 10_000, 64
 _own: dict[str, str] = {}
 
 
@@ -84,17 +84,28 @@ class Saved:
         remove(self.spark, self.path)
 
 
-def join_unique(rows: DataFrame, facts: DataFrame, on: list[str], weight: str) -> DataFrame:
+def free(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has: it is longer than any of them."""
+    return "_" * max([2, *map(len, columns)]) + name
+
+
+def join_unique(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int | None = None, weights: DataFrame | None = None) -> DataFrame:
     """``rows`` with the columns of ``facts``, null where it has none; ``facts`` has each key once.
 
-    ``weight`` says how many of ``rows`` a key has; null means few. A key that has more than one in HOT of
-    all rows would fill a task: there are at most HOT such keys, whatever the size of the tables, and
-    they go by broadcast. The others are joined by key. Keys must not be null in ``facts``.
+    ``weight`` says how many of ``rows`` a key has; null means few. A key with more than one in HOT of
+    all ``total`` rows would fill a task: there are at most HOT such keys, whatever the size of the
+    tables. They alone are broadcast; what is said of them is repeated for SALTS parts of their rows, so
+    that no task has more than a small share of any. ``weights`` may give keys and weights more
+    cheaply than ``facts``. Keys must not be null in ``facts``.
     """
-    hot = F.col(weight) > F.greatest(F.lit(rows.count()) / HOT, F.lit(1))
-    few = F.broadcast(facts.where(hot))
-    by_key = rows.join(few.select(*on), on, "left_anti").join(facts.where(~F.coalesce(hot, F.lit(False))), on, "left")
-    return rows.join(few, on).unionByName(by_key)
+    most = max((rows.count() if total is None else total) / HOT, 1)
+    salt, is_hot = free([*rows.columns, *facts.columns], "salt"), free([*rows.columns, *facts.columns], "hot")
+    hot = F.coalesce(F.col(weight) > most, F.lit(False))
+    keys = (facts if weights is None else weights).where(hot).select(*on, F.lit(True).alias(is_hot))
+    dealt = F.when(F.col(is_hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = rows.join(F.broadcast(keys), on, "left").withColumn(salt, dealt).drop(is_hot)
+    repeated = facts.withColumn(salt, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [*on, salt], "left").drop(salt)
 
 
 def parts(n: int, unit: int, least: int = 1) -> int:

@@ -429,8 +429,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = sets.join(linked.select(F.col("node").alias("f1"), "root"), "f1", "left").select("f1", "rep", "copies", F.coalesce("root", "f1").alias("root"))
     least_id = classes.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("sets"))
-    named = join_unique(classes, least_id, ["root"], "sets").select("f1", "copies", "component")
-    out = join_unique(stats.df.where("n > 0").select("id", "n", "f1"), named, ["f1"], "copies").select("id", "n", F.col("f1").alias("set_id"), "component")
+    named = join_unique(classes, least_id, ["root"], "sets", many).select("f1", "copies", "component")
+    out = join_unique(stats.df.where("n > 0").select("id", "n", "f1"), named, ["f1"], "copies", weights=sets).select("id", "n", F.col("f1").alias("set_id"), "component")
     return out.unionByName(stats.df.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("set_id"), F.col("id").alias("component")))
 
 

@@ -1,9 +1,10 @@
 """Language identification by compression: the language whose dictionary makes the text smallest.
 
-A language's dictionary is raw text: the first texts of the language in the order of a hash of their
-ids, at most DICT_DOCS of them with at most PIECE characters each, DICT_BYTES bytes in all. That sample is the only thing
-that is bounded; every whole text is classified. Dictionaries travel with the tasks (at most
-MOST_LANGUAGES times DICT_BYTES).
+A language's dictionary is raw text: of the DICT_DOCS texts of the language that come first in the order
+of a hash of their ids, a piece each of at most PIECE characters, from a place that the hash chooses.
+That sample is the only thing that is bounded; every whole text is classified. Dictionaries are broadcast:
+at most four bytes times PIECE times DICT_DOCS a language, and DICT_TOTAL for all of them, which more than
+DICT_TOTAL / (4 * PIECE * DICT_DOCS) languages share by smaller samples.
 
 What is compressed, in dictionaries and in texts, is the lower-cased text's letters with each distinct
 word once, in the order of their first occurrence: capitals, marks, numbers and repeated lines would
@@ -22,9 +23,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import free, prepare
 
-DICT_DOCS, PIECE, DICT_BYTES, MOST_LANGUAGES, LEVEL = 64, 2048, 1 << 17, 256, 9
+DICT_DOCS, PIECE, DICT_TOTAL, LEVEL = 64, 2048, 1 << 27, 9
 #: Bytes of distinct words that are compressed at a time.
 BLOCK = 1 << 14
 #: Bytes of distinct words up to which equal sizes are told apart by matches.
@@ -44,16 +45,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None) -> dict[str, bytes]:
-    """A dictionary for each language, from labelled rows with a text; a bounded sample of them."""
-    order = F.xxhash64(F.col(text_col)) if order is None else order
-    rows = docs.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, PIECE).alias("text"), order.alias("o"))
-    rows = rows.where("lang is not null and length(text) > 0").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("at") <= DICT_DOCS)
+    """A dictionary for each language, from labelled rows with a text; a bounded sample of them.
+
+    Rows without a label or text teach nothing; of repeated rows, each may be in the sample. An empty
+    table gives no dictionary.
+    """
+    text = F.col(f"`{text_col}`")
+    order = F.xxhash64(text) if order is None else order
+    pieces = F.ceil(F.length(text) / PIECE)
+    piece = F.substring(text, (F.pmod(F.xxhash64(order), F.greatest(pieces, F.lit(1))) * PIECE + 1).cast("int"), F.lit(PIECE))
+    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), piece.alias("text"), order.alias("o")).where("lang is not null and length(text) > 0")
+    langs = rows.select("lang").distinct().count()
+    most = max(1, min(DICT_DOCS, DICT_TOTAL // (4 * PIECE * max(1, langs))))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("at") <= most)
     found: dict[str, list[str]] = {}
-    for row in rows.orderBy("lang", "at").limit(MOST_LANGUAGES * DICT_DOCS + 1).collect():
+    for row in rows.orderBy("lang", "at").collect():  # at most DICT_TOTAL bytes, or a piece a language
         found.setdefault(row["lang"], []).append(row["text"])
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {lang: b"".join(map(distinct_words, texts))[:DICT_BYTES] for lang, texts in found.items()}
+    return {lang: b"".join(map(distinct_words, texts)) for lang, texts in found.items()}
 
 
 def _packers(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -81,15 +89,17 @@ def _unlike(dictionary: bytes, raw: bytes) -> float:
     return total / len(raw)
 
 
-def _predict(dictionaries: dict[str, bytes], narrow: float):
+def _predict(held, narrow: float):
+    """``held`` is the broadcast of the dictionaries."""
     packers: list[tuple[str, zstandard.ZstdCompressor]] = []
 
     def run(batches):
+        dictionaries = held.value
         if not packers:
             packers.extend(_packers(dictionaries))
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for text, letter in zip(batch.column("text").to_pylist(), batch.column("letter").to_pylist()):
+            for text, letter in zip(*(batch.column(i).to_pylist() for i in (batch.num_columns - 2, batch.num_columns - 1))):
                 if not letter or not packers:
                     best, score = "und", 0.0
                 else:
@@ -103,7 +113,7 @@ def _predict(dictionaries: dict[str, bytes], narrow: float):
                 langs.append(best)
                 scores.append(score)
                 rejected.append(best == "und" or len(packers) > 1 and score < narrow)
-            own = [i for i, c in enumerate(batch.schema.names) if c not in ("text", "letter")]
+            own = list(range(batch.num_columns - 2))  # all but text and letter
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(batch.schema.names[i] for i in own), "lang_pred", "score", "rejected"])
 
     return run
@@ -115,18 +125,21 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], te
     score is the share by which the smallest encoding undercuts the next (1 with one language);
     equal sizes of a short text are told apart by its matches in the dictionaries (_unlike, of which score
     is then the share), else they go to the first language by name. A null text, one without a letter, or any text when
-    nothing was learned is ``und`` with score 0. Those and narrow margins are rejected. Columns of
-    ``keep`` named lang_pred, score, rejected, text or letter must be renamed before.
+    nothing was learned is ``und`` with score 0. Those and narrow margins are rejected. Very long texts are
+    compressed whole, a block at a time. Repeated rows are judged alike; an empty table gives an empty
+    result. Columns may have any names; of ``keep``, one named lang_pred, score or rejected is left out.
     """
-    prepare(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", " if keep else ""
-    return rows.mapInArrow(_predict(dictionaries, narrow), f"{kinds}lang_pred string, score double, rejected boolean")
+    spark = docs.sparkSession
+    prepare(spark)
+    text, own = F.col(f"`{text_col}`"), [c for c in keep if c not in ("lang_pred", "score", "rejected")]
+    hidden, letter = free(docs.columns, "text"), free(docs.columns, "letter")
+    rows = docs.select(*(F.col(f"`{c}`") for c in own), text.alias(hidden), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letter))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[: len(own)])
+    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(dictionaries), narrow), f"{kinds}lang_pred string, score double, rejected boolean")
 
 
-def _known(dictionaries: dict[str, bytes], narrow: float, text_at: int):
-    judge = _predict(dictionaries, narrow)
+def _known(held, narrow: float, text_at: int):
+    judge = _predict(held, narrow)
 
     def run(batches):
         for batch in batches:
@@ -138,10 +151,11 @@ def _known(dictionaries: dict[str, bytes], narrow: float, text_at: int):
 
 
 def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", narrow: float = NARROW) -> DataFrame:
-    """The rows of ``docs`` that predict would not reject, with the columns they came with."""
-    prepare(docs.sparkSession)
-    letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("_" * max(map(len, docs.columns)) + "letter")
-    return docs.select("*", letter).mapInArrow(_known(dictionaries, narrow, docs.columns.index(text_col)), docs.schema)
+    """The rows of ``docs`` that predict would not reject, with the columns they came with; see there."""
+    spark = docs.sparkSession
+    prepare(spark)
+    letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias(free(docs.columns, "letter"))
+    return docs.select("*", letter).mapInArrow(_known(spark.sparkContext.broadcast(dictionaries), narrow, docs.columns.index(text_col)), docs.schema)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

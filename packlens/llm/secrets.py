@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, work_dir
+from .common import free, join_unique, prepare, work_dir
 
 #: kind, pattern, least length, the group whose length counts. The first three are the fixed base.
 BASE = (
@@ -90,23 +90,24 @@ def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     ``ledger`` names one written before, which is extended by the blobs not yet in it; else a new one is
     begun in the shared folder. A null text is the empty text. Rows of equal text share one finding,
     whatever their ids; null and repeated ids are allowed. Spans are ordered by start, then in the order
-    of the rules. Other columns are ignored. An empty table gives an empty result.
+    of the rules. Very long texts are scanned whole. Other columns are ignored, whatever their names. An
+    empty table gives an empty result.
     """
     spark = versions.sparkSession
     prepare(spark)
     ledger = ledger or f"{work_dir(spark)}/ledger-{uuid.uuid4().hex}"
     version = rules_version(rules)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = versions.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    texts = versions.select(F.col(f"`{id_col}`").alias("id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
     paths = texts.select("id", "blob")
     known = _ledger(spark, ledger, version)
-    fresh = paths.groupBy("blob").agg(F.min("id").alias("rep")).join(known.select("blob"), "blob", "left_anti")
-    one = fresh.select(F.col("blob").alias("__blob"), "rep").hint("shuffle_hash")
-    unseen = texts.join(one, (texts["blob"] == one["__blob"]) & texts["id"].eqNullSafe(one["rep"]), "left_semi").select("blob", "text")
+    blobs = paths.groupBy("blob").agg(F.min("id").alias("rep"), F.count("*").alias("paths"))
+    one = blobs.join(known.select("blob"), "blob", "left_anti").select(F.col("blob").alias("new"), "rep")
+    unseen = texts.join(one, (texts["blob"] == one["new"]) & texts["id"].eqNullSafe(one["rep"]), "left_semi").select("blob", "text")
     found = unseen.mapInArrow(_scan(rules), _FOUND).dropDuplicates(["blob"])
     found.write.mode("append").parquet(f"{ledger}/rules={version}")
     held = _ledger(spark, ledger, version)
-    return paths.join(held, "blob").select("id", "blob", "spans"), ledger
+    return join_unique(paths, blobs.join(held, "blob"), ["blob"], "paths", versions.count(), blobs).select("id", "blob", "spans"), ledger
 
 
 def listed(spans: Column) -> Column:
@@ -117,25 +118,32 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``[kind]``; overlapping spans become one.
 
-    Rows without findings, null texts and other columns stay as they are.
+    Rows without findings, null and empty texts and other columns stay as they are, whatever their
+    names; repeated rows stay repeated and are changed alike; very long texts are changed whole. An empty
+    table gives an empty result.
     """
+    blob, found = free(docs.columns, "blob"), free(docs.columns, "spans")
     spans, _ = scan(docs, id_col, text_col, rules)
-    hits = spans.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    joined = docs.join(hits, F.sha2(F.col(text_col), 256) == F.col("__blob"), "left")
-    text = F.col(text_col)
+    text = F.col(f"`{text_col}`")
+    hits = spans.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(found), F.count("*").alias(f"{blob}s"))
+    joined = join_unique(docs.withColumn(blob, F.sha2(text, 256)), hits, [blob], f"{blob}s", docs.count())
     step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
         F.struct(
             F.concat(acc["done"], F.when(x["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise("")).alias("done"),
             x["end"].alias("at"),
         )
     )
-    clean = F.aggregate("__spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    clean = F.aggregate(found, F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.select(*(F.when(F.col(found).isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
-def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
-    found, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+def op10_secret_scan(spark, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document.
+
+    ``ledger`` is that of earlier runs, of which only what is new is scanned; without one, a run has a
+    ledger of its own in the application's folder.
+    """
+    found, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ledger=ledger)
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin([r[0] for r in BASE]))
     return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

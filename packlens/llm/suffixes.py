@@ -463,10 +463,9 @@ def remove_repeats(
     for done in (places, texts):
         done.drop()
 
-    # what is said of a text in several rows is of a fixed size: they are the ones that may be hot
-    once = [F.when(F.col("copies").isNull(), F.col(c)).alias(c) for c in ("removed", "spans", "kept", "kept_sha256")]
-    facts = copies.where("copies > 1").select("content", "check", "copies").join(changed.df, ["content", "check"], "full").select("content", "check", "copies", "passage", *once)
-    out = join_unique(rows.df, facts, ["content", "check"], "copies")
+    several = copies.where("copies > 1").select("content", "check", "copies")
+    facts = several.join(changed.df, ["content", "check"], "full")
+    out = join_unique(rows.df, facts, ["content", "check"], "copies", weights=several)
     again = F.coalesce(F.col("copies") > 1, F.lit(False))
     whole = again & (F.col("n_bytes") >= length)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))

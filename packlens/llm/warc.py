@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer and its reader.
 
 Records are built and compressed where their pages are read, range-sorted by page id into shards whose
-bounds come from a hash-chosen sample of the ids, and written one gzip member a record; a file is
+bounds come from a hash-chosen sample of PER_SHARD ids a shard, put in order by ranges, and written one gzip member a record; a file is
 closed when its compressed size passes the limit. Each task writes under a temporary name and returns a
 manifest row; only files whose rows were committed get their final names, so attempts that were lost or
 repeated leave nothing behind but temporaries, which are removed. Payloads of at least LEAST bytes that
@@ -22,9 +22,10 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .common import Saved, parts, prepare, remove, work_dir
 
-LEAST, ROLL_BYTES, SHARD_BYTES, SAMPLE = 1000, 32 << 20, 16 << 20, 10_000
+LEAST, ROLL_BYTES, SHARD_BYTES, PER_SHARD = 1000, 32 << 20, 16 << 20, 32
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "name string, temporary string, bytes long, sha256 string, records long, first_id long, last_id long"
@@ -71,6 +72,15 @@ def warcinfo(name: str) -> bytes:
 _ROWS = "page_id long, sha string, kind int, refers_to long, url string, n long, member binary"
 
 
+def _bounds(ids: DataFrame, shards: int, many: int) -> list[int]:
+    """The least ids of all shards but the first: eight bytes for each SHARD_BYTES of pages."""
+    if shards == 1:
+        return []
+    sample = ids.where("page_id is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(max(1, many // (shards * PER_SHARD)))) == 0).distinct()
+    placed = numbered(sample, ["page_id"], "at", 0)
+    return sorted(r[0] for r in placed.where((F.col("at") % PER_SHARD == 0) & (F.col("at") > 0)).select("page_id").collect())
+
+
 def _build(batches):
     for batch in batches:
         ids, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
@@ -147,13 +157,26 @@ def _commit(target: str):
     return run
 
 
+def _sharded(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """``rows`` with the number of bounds that are not above their id (0 for a null id), found by search."""
+    held = rows.sparkSession.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("page_id")
+            shard = np.searchsorted(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            yield batch.append_column("shard", pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, shard).astype(np.int64)))
+
+    return rows.mapInArrow(run, f"{_ROWS}, shard long")
+
+
 def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes archives below ``target``, a folder that all executors share; returns the manifest.
 
     A null html is an empty payload; a null url gets a placeholder; control characters in urls are
     percent-encoded. Null ids come first. Rows that repeat an id and its payload are all written, each
-    as a response where that id is the largest. Other columns are ignored. An empty table gives an
-    empty manifest.
+    as a response where that id is the largest. A very long payload is one record, for which its task
+    needs a few times its memory. Other columns are ignored. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -161,16 +184,13 @@ def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str =
     brief = Saved(rows.select("page_id", F.sha1(F.encode("payload", "UTF-8")).alias("sha"), F.octet_length("payload").cast("long").alias("n")), "payloads")
     total, many = brief.df.agg(F.sum("n"), F.count("*")).first()
     shards = parts(total, shard_bytes)
-    sample = sorted(r[0] for r in brief.df.select("page_id").where("page_id is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(parts(many, SAMPLE))) == 0).distinct().collect())
-    bounds = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
+    bounds = _bounds(brief.df.select("page_id"), shards, many)
     heads = brief.df.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("times")).where("times > 1")
     marks = brief.df.where(F.col("n") >= least).join(heads, "sha").where("page_id is null or page_id < refers_to").where("refers_to is not null")
     none = lambda kind: F.lit(None).cast(kind)
     marks = marks.select("page_id", "sha", F.lit(0).alias("kind"), "refers_to", none("string").alias("url"), none("long").alias("n"), none("binary").alias("member")).distinct()
     records = rows.mapInArrow(_build, _ROWS)
-    limits = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(limits, lambda b: b <= F.col("page_id"))))
-    placed = records.unionByName(marks).withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind")
+    placed = _sharded(records.unionByName(marks), bounds).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind")
     written = Saved(placed.mapInArrow(_write(target, roll), _MANIFEST), "written")
     manifest = Saved(written.df.repartition(parts(written.df.count(), 16)).mapInArrow(_commit(target), _MANIFEST), "manifest")
     remove(spark, f"{target}/_temporary")

@@ -31,6 +31,38 @@ def test_stages(spark, docs, tmp_path):
     assert p.packed(spark, rows, SMALL).groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").isEmpty()
 
 
+def test_the_same_documents_stay_however_files_are_split(spark, docs, tmp_path):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for least in ("4", "24"):
+        spark.conf.set("spark.sql.files.minPartitionNum", least)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            out = p.one_of_each(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), SMALL)
+            spark.conf.set("spark.sql.files.minPartitionNum", "9")  # and when it is read
+            kept.append(sorted(r["doc_id"] for r in out.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    classes = {r["component"] for r in jaccard.near_duplicates(docs).collect()}
+    assert kept[0] == kept[1] == sorted(classes)
+
+
+def test_what_survives_of_odd_rows(spark):
+    text = "alpha beta gamma delta omega alpha gamma beta omega delta secret=abcdefghij"
+    rows = [(None, text, "xx", None, 1), (None, text, "yy", None, 1), (3, text, None, None, 1), (1, None, None, "s", 0), (1, "  ", "xx", "s", 9), (1, "", "xx", "s", 9), (2, "12 34", "yy", "s", 0), (2, "12 34", "yy", "s", 0)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    shape = lambda out: sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=str)
+    taught = df.unionAll(spark.createDataFrame([(4, "alpha beta gamma delta omega", "xx", "s", 0), (8, "uno dos tres cuatro cinco", "yy", "s", 0)], COLUMNS))
+    known = p.known_language(spark, taught, SMALL)
+    assert {r["text"] for r in known.collect()} == {text, "alpha beta gamma delta omega", "uno dos tres cuatro cinco"}  # neither blank, null nor without letters
+    assert shape(p.one_of_each(spark, df, SMALL)) == sorted([(3, text, 1), (1, None, 0), (1, "  ", 9), (1, "", 9), (2, "12 34", 0)], key=str)
+    clean = text.replace("secret=abcdefghij", "[assign]")
+    assert shape(p.without_secrets(spark, df, SMALL)) == sorted([(i, clean if t == text else t, len(clean) if t == text else None if t is None else len(t)) for i, t, *_ in rows], key=str)
+    taken = {r["text"] for r in p.mixed(spark, df, SMALL).collect()}
+    assert taken <= {t for _, t, *_ in rows} and text in taken
+
+
 def test_odd_rows_go_through_all_stages(spark, tmp_path):
     rng = random.Random(1)
     text = " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "omega")) for _ in range(60))
