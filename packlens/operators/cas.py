@@ -110,14 +110,13 @@ def pack_name(pack_id, suffix: str = ".psp"):
     return F.format_string("pack-%04d" + suffix, pack_id)
 
 
-def whole_files(chunks: DataFrame, data: str = "data") -> DataFrame:
-    """path, size, hash of files put together from their chunks in order; data is text or binary.
-
-    Only as many bytes as a file has meet in one row.
+def whole_files(files: DataFrame, chunks: DataFrame, data: str = "data") -> DataFrame:
+    """path, size, hash of ``files`` (path) put together from their chunks in order; data is text or
+    binary. A file without chunks is empty. Only as many bytes as a file has meet in one row.
     """
     ordered = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", data))).alias("parts"))
-    joined = F.array_join(F.transform("parts", lambda x: x[data]), "")
-    return ordered.select("path", F.octet_length(joined).cast("long").alias("size"), F.sha2(joined, 256).alias("hash"))
+    joined = F.coalesce(F.array_join(F.transform("parts", lambda x: x[data]), ""), F.lit(""))
+    return files.select("path").join(ordered, "path", "left").select("path", F.octet_length(joined).cast("long").alias("size"), F.sha2(joined, 256).alias("hash"))
 
 
 def tree_digest(files: DataFrame, digest: str = "hash") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,23 +45,45 @@ def fixed_chunks(files: DataFrame, size: int, content: str = "content", digest:
     return cut.select(*own, "ordinal", offset.alias("offset"), F.least(F.lit(size).cast("long"), length - offset).alias("raw_size"), *([F.sha2(piece, 256).alias("hash")] if digest else [piece.alias("data")]))
 
 
+_GEAR = np.array(GEAR, dtype=np.uint64)
+
+
 def gear_cuts(data: bytes, least: int, average: int, most: int) -> list[int]:
     """The ends of content-defined chunks: a rolling gear hash, tested from ``least`` bytes on, with a
-    strict mask up to the average and a loose one behind it, and a cut at ``most`` in any case."""
+    strict mask up to the average and a loose one behind it, and a cut at ``most`` in any case.
+
+    A mask looks at the low bits of the hash only, which the last few bytes alone make up. So the hash of
+    every place is a sum of shifted columns, and a chunk's end is the next place where it is zero under the
+    mask, but for the first few places of the chunk's test, whose hash has fewer bytes behind it.
+    """
     if not 0 < least <= average <= most:
         raise ValueError("0 < least <= average <= most is needed")
+    # fixed values: one bit more than the average's before it, one less behind
     bits = max(1, round(math.log2(average)))
     strict, loose = (1 << min(63, bits + 1)) - 1, (1 << max(1, bits - 1)) - 1
+    reach = strict.bit_length()
+    words = _GEAR[np.frombuffer(data, np.uint8)]
+    roll = np.zeros(len(data), dtype=np.uint64)
+    for step in range(min(reach, len(data))):
+        roll[step:] += words[: len(data) - step] << np.uint64(step)
+    hits = [np.flatnonzero((roll & np.uint64(mask)) == 0) for mask in (strict, loose)]
     ends, at = [], 0
     while len(data) - at > least:
-        roll, end = 0, min(at + most, len(data))
-        for i in range(at + least, end):
-            roll = (roll << 1) + GEAR[data[i]] & MASK
-            if not roll & (strict if i < at + average else loose):
-                end = i + 1
+        start, turn, end = at + least, at + average, min(at + most, len(data))
+        found, short = end, 0
+        for i in range(start, min(start + reach, end)):
+            short = (short << 1) + GEAR[data[i]] & MASK
+            if not short & (strict if i < turn else loose):
+                found = i + 1
                 break
-        ends.append(end)
-        at = end
+        else:
+            for places, low, high in ((hits[0], start + reach, min(turn, end)), (hits[1], max(start + reach, turn), end)):
+                k = int(np.searchsorted(places, low))
+                if k < len(places) and places[k] < high:
+                    found = int(places[k]) + 1
+                    break
+        ends.append(found)
+        at = found
     return ends + ([len(data)] if at < len(data) else [])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trace import nearest_rank, ratio
+from .trace import nearest_ranks, ratio
 
 MIB = 1 << 20
 
@@ -21,14 +21,17 @@ def trial_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def interpolated(rows: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Percentiles between neighbours, unlike nearest_rank."""
+    """Percentiles between neighbours, unlike nearest_ranks."""
     return rows.groupBy(by).agg(*(F.expr(f"percentile({value}, {p})").alias(f"p{round(p * 100)}") for p in points))
 
 
 def workload_table(rows: DataFrame, by: str) -> DataFrame:
     """Operations, bytes, exact latency percentiles (ns), MiB/s. rows: bytes, ns."""
     seconds = F.sum("ns") / 1e9
-    return rows.groupBy(by).agg(F.count("*").alias("operations"), F.sum("bytes").alias("bytes"), *(nearest_rank("ns", p).alias(f"p{p}") for p in (50, 95, 99)), ratio(F.sum("bytes") / MIB, seconds).alias("mib_s"))
+    totals = rows.groupBy(by).agg(F.count("*").alias("operations"), F.sum("bytes").alias("bytes"), ratio(F.sum("bytes") / MIB, seconds).alias("mib_s"))
+    ranks = nearest_ranks(rows, [by], "ns").withColumnRenamed(by, "__by")
+    joined = totals.join(ranks, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.select(by, "operations", "bytes", *(F.coalesce(p, F.lit(0).cast("long")).alias(p) for p in ("p50", "p95", "p99")), "mib_s")
 
 
 def amplification(loaded: Column, returned: Column) -> Column:

@@ -168,3 +168,42 @@ def backup_violations(games: DataFrame) -> DataFrame:
     """Games of a backup with unsafe ids or sources."""
     reason = F.when(~F.col("id").rlike(r"^g-[A-Za-z0-9-]*\z"), "id").when(~F.startswith("source", F.lit("/")), "source")
     return games.select("id", reason.alias("reason")).where("reason is not null")
+
+
+MOST_ENTRIES = 1000
+
+
+def add(entries: DataFrame, new: DataFrame, storage: str) -> DataFrame:
+    """The library with ``new`` entries (id, source); one that is a source already, or lies below or above
+    one or the storage folder, is an error, and so are more than MOST_ENTRIES."""
+    near = overlapping(new.select(F.col("source").alias("path")), entries.select(F.col("source").alias("path")).unionAll(entries.sparkSession.createDataFrame([(storage,)], "path string")))
+    clash = near.select("new").distinct().limit(20).collect()
+    if clash:
+        raise ValueError(f"already registered, or overlaps another entry or the storage: {', '.join(sorted(r[0] for r in clash))}")
+    out = entries.unionByName(new, allowMissingColumns=True)
+    if out.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries")
+    return out
+
+
+def remove(entries: DataFrame, id_: str) -> DataFrame:
+    """The library without an entry, which must be there; files stay."""
+    if entries.where(F.col("id") == id_).isEmpty():
+        raise ValueError(f"unknown entry {id_}")
+    return entries.where(F.col("id") != id_)
+
+
+def forget_stores(entries: DataFrame, stores: DataFrame) -> DataFrame:
+    """The library with the stores forgotten that are not among ``stores`` (store): no store, not verified,
+    no error. Nothing is deleted; stores that are there stay registered."""
+    there = stores.select("store").distinct().withColumn("there", F.lit(True))
+    joined = entries.join(there, "store", "left")
+    lost = F.col("store").isNotNull() & F.col("there").isNull()
+    return joined.select(*(F.when(lost, F.lit(False) if c == "verified" else F.lit(None)).otherwise(F.col(c)).alias(c) if c in ("store", "verified", "error") else F.col(c) for c in entries.columns))
+
+
+def repaired(entries: DataFrame) -> DataFrame:
+    """A library as it is loaded after a stop: what was running is interrupted, and a store that is not
+    registered cannot be verified."""
+    state = F.when(F.col("state").isin("running", "starting", "stopping"), "interrupted").otherwise(F.col("state"))
+    return entries.withColumn("state", state).withColumn("verified", F.coalesce(F.col("verified") & F.col("store").isNotNull(), F.lit(False)))

@@ -78,6 +78,42 @@ def plans(profiles: DataFrame, container_aware: bool, skip_compression: bool) ->
     return out.withColumn("boundaries", F.when(at_records, F.col("boundaries")).otherwise(F.array().cast("array<bigint>"))).withColumn("reason", F.when(raw, REASON_RAW).otherwise(REASON_ZSTD))
 
 
+def stale(stored: DataFrame, profiles: DataFrame, key: str, container_aware: bool, skip_compression: bool) -> DataFrame:
+    """``key`` and reason of stored plans that are not what plans would say of the source today: changed,
+    or without a source, or a source without a plan. Whole plans are compared, nulls being equal."""
+    fields = ("chunk_strategy", "compression_strategy", "reason", "boundaries")
+    whole = lambda rows, name: rows.select(key, F.struct(*fields).alias(name))
+    now = whole(plans(profiles, container_aware, skip_compression), "now")
+    both = whole(stored, "then").join(now, key, "full")
+    reason = F.when(F.col("now").isNull(), "no source").when(F.col("then").isNull(), "no plan").when(~F.col("now").eqNullSafe(F.col("then")), "changed")
+    return both.select(key, reason.alias("reason")).where("reason is not null")
+
+
+def extents(content: Column, block: int = 4096) -> Column:
+    """Where a file's bytes are data: start and end of the runs of blocks that are not all zero."""
+    size = F.octet_length(content).cast("long")
+    part = lambda i: F.substring(content, (i * block + 1).cast("int"), F.lit(block))
+    last = F.floor((size - 1) / block)
+    zeros = F.lit(bytes(block))
+    held = F.filter(F.sequence(F.lit(0).cast("long"), last), lambda i: part(i) != F.substring(zeros, F.lit(1), F.octet_length(part(i))))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def grow(acc, i):
+        one = F.struct((i * block).alias("start"), F.least((i + 1) * block, size).alias("end"))
+        open_ = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(open_["start"].alias("start"), one["end"].alias("end"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] == i * block), joined).otherwise(F.concat(acc, F.array(one)))
+
+    return F.when(size > 0, F.aggregate(held, none, grow)).otherwise(none)
+
+
+def extents_digest(content: Column, found: Column) -> Column:
+    """SHA-256 over the extents, each as start and end (eight bytes, little-endian) and its bytes."""
+    little = lambda n: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(8))))
+    piece = lambda x: F.concat(little(x["start"]), little(x["end"]), F.substring(content, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+    return F.sha2(F.aggregate(found, F.lit(b""), lambda acc, x: F.concat(acc, piece(x))), 256)
+
+
 def ascending(values: Column) -> Column:
     """Whether each element of an array is behind the one before it."""
     inner = F.sequence(F.lit(1), F.size(values) - 1)

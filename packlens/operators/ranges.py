@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import chunk_ordinals
+from .numbering import numbered
 
 MOST_READ = 16 << 20
+#: Ranges meet by spans of so many bytes.
+SPAN = 1 << 20
 
 
 def clipped(reads: DataFrame, files: DataFrame) -> DataFrame:
@@ -22,13 +25,25 @@ def clipped(reads: DataFrame, files: DataFrame) -> DataFrame:
 def resolve(reads: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row a read and chunk it meets: with start and stop of the part wanted, inside the chunk.
 
-    An equi-join on the path with the interval as its residual; for chunks of one size use
-    resolve_fixed, which has no residual. Empty reads and those behind the end meet nothing.
+    See meeting; for chunks of one size use resolve_fixed, which has no residual. Empty reads and those
+    behind the end meet nothing.
     """
-    r = clipped(reads, files)
     c = chunks.select("path", "ordinal", F.col("offset").alias("chunk_offset"), "raw_size", *(x for x in ("hash", "data") if x in chunks.columns))
-    met = r.join(c, "path").where((F.col("chunk_offset") < F.col("end")) & (F.col("chunk_offset") + F.col("raw_size") > F.col("offset")) & (F.col("len") > 0))
-    return _parts(met)
+    r = clipped(reads, files).where("len > 0 and end > offset")
+    return _parts(meeting(r, ("offset", "end"), c.withColumn("chunk_end", F.col("chunk_offset") + F.col("raw_size")), ("chunk_offset", "chunk_end")).drop("chunk_end"))
+
+
+def meeting(left: DataFrame, a: tuple[str, str], right: DataFrame, b: tuple[str, str], on: str = "path", span: int = SPAN) -> DataFrame:
+    """The pairs of rows with the same ``on`` whose ranges [start, end) overlap, each once.
+
+    Both sides are dealt out by the spans of ``span`` that their ranges touch, and joined on path and
+    span, so that a file with many reads and many chunks is many keys. A pair that has several spans in
+    common is kept at the first of them. Empty ranges meet nothing.
+    """
+    touched = lambda x: F.explode(F.sequence(F.floor(F.col(x[0]) / span), F.floor((F.col(x[1]) - 1) / span)))
+    l, r = left.where(F.col(a[1]) > F.col(a[0])).withColumn("__span", touched(a)), right.where(F.col(b[1]) > F.col(b[0])).withColumn("__span", touched(b))
+    first = F.floor(F.greatest(a[0], b[0]) / span)
+    return l.join(r, [on, "__span"]).where((F.col(b[0]) < F.col(a[1])) & (F.col(b[1]) > F.col(a[0])) & (F.col("__span") == first)).drop("__span")
 
 
 def resolve_fixed(reads: DataFrame, files: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
@@ -53,6 +68,26 @@ def read_ranges(resolved: DataFrame) -> DataFrame:
     return parts.select("seq", "path", F.array_join(F.transform("parts", lambda x: x["data"]), "").alias("text"))
 
 
+#: Lengths that a planned workload takes in turn.
+LENGTHS = (4096, 65536, 1048576)
+
+
+def planned_reads(files: DataFrame, count: int, seed: str = "plan", lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """seq, path, offset, len: a workload that the seed decides. Each read takes the file and the place in
+    it that hashes of the seed and its number give, and the lengths in turn, cut to the file's size.
+    Empty files are not read; without any other file it is an error, as are counts beyond 1 to 10,000."""
+    if not 1 <= count <= 10_000:
+        raise ValueError("1 to 10,000 reads")
+    some = numbered(files.where("size > 0").select("path", "size"), ["path"], "nth", 0)
+    many = some.count()
+    if not many:
+        raise ValueError("no file with content")
+    drawn = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(what), F.col("seq").cast("string"))), 1, 12), 16, 10).cast("long")
+    asked = files.sparkSession.range(count).select(F.col("id").alias("seq")).withColumn("nth", drawn("file") % many).withColumn("length", F.element_at(F.array(*(F.lit(n).cast("long") for n in lengths)), (F.col("seq") % len(lengths) + 1).cast("int")))
+    read = asked.join(some, "nth").withColumn("len", F.least("length", "size"))
+    return read.select("seq", "path", (drawn("place") % (F.col("size") - F.col("len") + 1)).alias("offset"), "len")
+
+
 def synthetic_reads(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """The workload on the largest file (ties: the last path): its first 128 chunks, then 128 rounds of
     its first four chunks and one more, in turn. seq is the order."""

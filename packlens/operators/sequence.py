@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .numbering import numbered
+from .ranges import meeting
 from .trace import hot_files, ratio
 
 PRIORITY_MOST, FILE_MOST, HEAT_MOST, TRACKED = 2048, 1024, 1024, 4096
@@ -70,17 +74,43 @@ def sequences(reads: DataFrame, ttl_ms: int, least: int = 3) -> DataFrame:
     return r.withColumn("sequential", F.col("confidence") >= least).drop("on", "gain", "at_ms")
 
 
-def heat(reads: DataFrame, interval: int = 64) -> DataFrame:
+def heat(reads: DataFrame, interval: int = 64, span: int = 1 << 20) -> DataFrame:
     """path, heat, epoch: each path's score after its last read: min(1024, decayed score + 1).
 
-    The clock is the number of the read among all reads (see numbering); the score itself is a fold over
-    one path's read numbers.
+    The clock is the number of the read among all reads (see numbering). A path's reads are folded in
+    spans of ``span`` numbers, all at once: a span becomes what it makes of each score that may come
+    into it, of which there are HEAT_MOST + 1. A path's spans are then applied one after the other.
     """
-    clock = numbered(reads.select("path", "seq"), ["seq"], "epoch")
-    gaps = clock.select("path", "epoch").withColumn("gap", F.col("epoch") - F.lag("epoch").over(Window.partitionBy("path").orderBy("epoch")))
-    folded = gaps.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("epoch", "gap"))).alias("steps"))
-    step = lambda acc, x: F.least(F.lit(HEAT_MOST), decayed(acc, F.coalesce(x["gap"], F.lit(0)), interval) + 1)
-    return folded.select("path", F.aggregate("steps", F.lit(0), step).cast("long").alias("heat"), F.element_at("steps", -1)["epoch"].alias("epoch"))
+    ship(reads.sparkSession)
+    clock = numbered(reads.select("path", "seq"), ["seq"], "epoch").select("path", "epoch", F.floor(F.col("epoch") / span).alias("span"))
+    spans = clock.groupBy("path", "span").applyInArrow(_span_of_heat(interval), "path string, first long, last long, becomes array<short>")
+    folded = spans.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("first", "last", "becomes"))).alias("spans"))
+    entering = lambda acc, x: F.when(acc["last"].isNull(), 0).otherwise(decayed(acc["score"], x["first"] - acc["last"], interval))
+    step = lambda acc, x: F.struct(F.get(x["becomes"], entering(acc, x)).cast("int").alias("score"), x["last"].alias("last"))
+    none = F.struct(F.lit(0).alias("score"), F.lit(None).cast("long").alias("last"))
+    return folded.select("path", F.aggregate("spans", none, step).alias("x")).select("path", F.col("x.score").cast("long").alias("heat"), F.col("x.last").alias("epoch"))
+
+
+def _span_of_heat(interval: int):
+    """Of a path's reads in a span: the first, the last, and the score after the last for every decayed
+    score before the first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        epochs = np.sort(table.column("epoch").to_numpy())
+        shifts = np.minimum(31, np.diff(epochs) // max(1, interval))
+        score = np.minimum(HEAT_MOST, np.arange(HEAT_MOST + 1) + 1)
+        for i, shift in enumerate(shifts.tolist()):
+            if score[0] == score[-1]:  # whatever came in, it is one score by now
+                now = int(score[0])
+                for later in shifts[i:].tolist():
+                    now = min(HEAT_MOST, (now >> later) + 1)
+                score = np.full(HEAT_MOST + 1, now)
+                break
+            score = np.minimum(HEAT_MOST, (score >> shift) + 1)
+        columns = {"path": table.column("path").slice(0, 1), "first": pa.array([int(epochs[0])]), "last": pa.array([int(epochs[-1])]), "becomes": pa.array([score.astype(np.int16)], pa.list_(pa.int16()))}
+        return pa.table(columns)
+
+    return run
 
 
 def priorities(trace: DataFrame) -> DataFrame:
@@ -109,8 +139,9 @@ def look_ahead(reads: DataFrame, chunks: DataFrame, most: int = 2) -> DataFrame:
 
     chunks: path, ordinal, offset, raw_size. One row a read and chunk.
     """
-    end = F.col("r.offset") + F.col("r.returned")
-    hit = chunks.alias("c").join(reads.where("sequential").alias("r"), "path").where((F.col("c.offset") < end) & (F.col("c.offset") + F.col("c.raw_size") > F.col("r.offset")))
-    last = hit.groupBy("path", "r.seq", "r.forward_bytes").agg(F.max_by("c.raw_size", "c.ordinal").alias("size"), F.max("c.ordinal").alias("last")).where("forward_bytes >= size")
+    r = reads.where("sequential").select("path", "seq", "forward_bytes", F.col("offset").alias("start"), (F.col("offset") + F.col("returned")).alias("stop"))
+    c = chunks.select("path", "ordinal", "raw_size", F.col("offset").alias("begin"), (F.col("offset") + F.col("raw_size")).alias("end"))
+    hit = meeting(r, ("start", "stop"), c, ("begin", "end"))
+    last = hit.groupBy("path", "seq", "forward_bytes").agg(F.max_by("raw_size", "ordinal").alias("size"), F.max("ordinal").alias("last")).where("forward_bytes >= size")
     wanted = last.select("path", "seq", F.explode(F.sequence(F.col("last") + 1, F.col("last") + most)).alias("ordinal"))
     return wanted.join(chunks, ["path", "ordinal"]).select("seq", "path", "ordinal", F.col("offset").alias("chunk_offset"), F.col("raw_size").alias("chunk_size"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from .numbering import numbered
 
 #: Bounds in bytes of the text fields; longer ones are dropped and counted.
@@ -20,9 +21,29 @@ def ratio(n: Column, d: Column) -> Column:
     return F.when(F.coalesce(d, F.lit(0)) == 0, F.lit(0.0)).otherwise(n / d)
 
 
-def nearest_rank(value: str, p: int) -> Column:
-    """The element at place ceil(n * p / 100) in the order of whole numbers; 0 of no elements."""
-    return F.coalesce(F.expr(f"percentile_disc({p / 100}) within group (order by {value})").cast("long"), F.lit(0))
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """``by`` and p50, p95, ...: the element at place ceil(n * p / 100) in the order of whole numbers.
+
+    Rows are counted by value, put in order by ranges, and summed up to each value: within a partition
+    by a window, over the partitions before by one sum a partition, so that no task or buffer holds all
+    values of a group. Nulls do not count; a group without values is left out.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    order = [*by, "__value"]
+    placed = cut(counts.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy("__part", *by)
+    sums = placed.groupBy("__part", *by).agg(F.sum("__n").alias("__sum"))
+    earlier = F.sum("__sum").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)) if by else F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("__sum").over(Window.partitionBy(*by)) if by else F.sum("__sum").over(Window.partitionBy(F.lit(0)))
+    before = sums.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(by)), F.col("__part").alias("__p"), F.coalesce(earlier, F.lit(0)).alias("__before"), total.alias("__total"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    upto = F.col("__before") + F.sum("__n").over(own.orderBy("__value").rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.join(before, same).withColumn("__upto", upto)
+    rank = lambda p: F.greatest(F.lit(1), F.expr(f"(__total * {p} + 99) div 100"))
+    found = lambda p: F.min(F.when(F.col("__upto") >= rank(p), F.col("__value"))).cast("long").alias(f"p{p}")
+    return summed.groupBy(*by).agg(*map(found, points))
 
 
 def is_read() -> Column:
@@ -34,7 +55,8 @@ def counts_by(trace: DataFrame, key: str) -> DataFrame:
 
 
 def sessions(trace: DataFrame) -> DataFrame:
-    return trace.agg(F.array_sort(F.collect_set("session")).alias("sessions"))
+    """The sessions in order, one a row: place from 0, session."""
+    return numbered(trace.select("session").distinct(), ["session"], "place", 0).select("place", "session")
 
 
 def hot_files(trace: DataFrame, k: int = 20) -> DataFrame:
@@ -83,12 +105,12 @@ def summary(trace: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(write, F.col("returned"))), F.lit(0)).alias("write_bytes"),
         hits.alias("hits"),
         misses.alias("misses"),
-        *(nearest_rank("latency_ns", p).alias(f"p{p}") for p in (50, 95, 99)),
     )
     unique = read_ranges(trace).agg(F.count("*").alias("unique_read_ranges"))
     sequential = adjacency(trace).agg(F.count_if("sequential").alias("sequential"))
-    # three one-row tables
-    both = totals.join(unique, F.lit(True), "left").join(sequential, F.lit(True), "left")
+    ranks = nearest_ranks(trace, [], "latency_ns")
+    # four one-row tables
+    both = totals.join(unique, F.lit(True), "left").join(sequential, F.lit(True), "left").join(ranks, F.lit(True), "left")
     reads = F.col("read_operations")
     return both.select(
         "events", "sessions", "read_operations", "write_operations", "read_bytes", "write_bytes", "unique_read_ranges",
@@ -96,7 +118,7 @@ def summary(trace: DataFrame) -> DataFrame:
         ratio(reads - F.col("unique_read_ranges"), reads).alias("reread_ratio"),
         ratio(F.col("hits"), F.col("hits") + F.col("misses")).alias("cache_hit_ratio"),
         ratio(F.col("misses"), F.col("hits") + F.col("misses")).alias("cache_miss_ratio"),
-        "p50", "p95", "p99",
+        *(F.coalesce(p, F.lit(0).cast("long")).alias(p) for p in ("p50", "p95", "p99")),
     )
 
 

@@ -104,10 +104,11 @@ def object_layout(spark, sf_dir):
     return h.select("hash", cas.loose_path(F.col("hash")).alias("path"), cas.pack_name(F.ascii("hash") % 50).alias("pack"))
 
 
-@query(f"WITH {FILES} SELECT path, size, sha256(content) AS hash FROM files WHERE size > 0")
+@query(f"WITH {FILES} SELECT path, coalesce(size, 0) AS size, sha256(coalesce(content, '')) AS hash FROM files")
 def whole_file_digests(spark, sf_dir):
     """Files put together again from their chunks."""
-    return cas.whole_files(fixed_chunks(files(spark, sf_dir).select("path", "content"), CHUNK, digest=False))
+    f = files(spark, sf_dir).select("path", "content")
+    return cas.whole_files(f, fixed_chunks(f, CHUNK, digest=False))
 
 
 @query(f"""WITH {FILES} SELECT sha256(string_agg(path || ':' || size || ':' || sha256(content), chr(10) ORDER BY path || ':' || size || ':' || sha256(content))) AS tree_sha256,

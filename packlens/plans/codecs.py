@@ -82,3 +82,25 @@ def pack_reads(spark, sf_dir):
     body = F.aggregate("parts", F.lit(b"\0" * 8), lambda acc, x: F.concat(acc, x["data"]))
     read = index.objects_of(packs.select("pack_id", body.alias("content")), placed.select("hash", name.alias("pack_id"), "pack_offset", "compressed_size", "raw_size", F.lit("raw").alias("codec")))
     return read.select("hash", "raw_size", F.sha2("payload", 256).alias("digest"))
+
+
+@query("""SELECT doc_id, strlen(coalesce(text, '')) // 3 AS boundary FROM documents WHERE strlen(coalesce(text, '')) > 2 UNION ALL SELECT doc_id, strlen(text) FROM documents WHERE strlen(coalesce(text, '')) > 2""")
+def chunks_at_boundaries(spark, sf_dir):
+    """Content-defined chunks that begin anew behind the first third of every text: the ends that both have."""
+    size = F.octet_length("content").cast("long")
+    f = files(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.encode("content", "UTF-8").alias("content")).where(size > 2)
+    f = f.withColumn("ends", F.array(F.floor(size / 3), size))
+    found = content_chunks(f, 512, "ends").select("path", (F.col("offset") + F.col("raw_size")).alias("boundary"))
+    return f.select("path", F.explode("ends").alias("boundary")).join(found, ["path", "boundary"], "left_semi").select(F.col("path").cast("long").alias("doc_id"), "boundary")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+def log_events(spark, sf_dir):
+    """Events as lines of a JSON log, of which those of one kind are picked."""
+    from ..sources.documents import metric_event
+    from ..sources.tables import scratch
+
+    path = scratch(spark, "log")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(F.struct(F.col("event_type").alias("event"), "event_id", "user_id")).alias("value")).write.text(path)
+    line = lambda name: F.get_json_object("value", f"$.{name}").cast("long").alias(name)
+    return metric_event(spark, path, "click").select(line("event_id"), line("user_id"))

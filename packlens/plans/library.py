@@ -171,11 +171,11 @@ def launch_candidates(spark, sf_dir):
     return op.launch_candidates(f)
 
 
-@query(f"""WITH {PAGE_PATHS}, n AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE path END AS p FROM page_paths WHERE page_id % 5 = 0),
+@query(f"""WITH {PAGE_PATHS}, n AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE path END AS p FROM page_paths),
 k AS (SELECT DISTINCT path AS p FROM page_paths) SELECT n.p AS new, k.p AS known FROM n, k WHERE n.p = k.p OR starts_with(n.p, k.p || '/') OR starts_with(k.p, n.p || '/')""")
 def prefix_overlap(spark, sf_dir):
     p, i = page_paths(spark, sf_dir), F.col("page_id")
-    n = p.where(i % 5 == 0).select(F.when(i % 2 == 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("path"))
+    n = p.select(F.when(i % 2 == 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("path"))
     return op.overlapping(n, p)
 
 
@@ -184,3 +184,15 @@ def backup_violations(spark, sf_dir):
     i = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(F.concat(F.when(i % 3 == 0, "g_").otherwise("g-"), i).alias("id"), F.when(i % 5 == 0, "games/x").otherwise("/games/x").alias("source"))
     return op.backup_violations(rows)
+
+
+@query("""SELECT 'g' || doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 0 THEN NULL ELSE 's' || doc_id END AS store, doc_id % 4 > 1 AND doc_id % 3 > 0 AS verified,
+CASE WHEN doc_id % 5 = 0 THEN 'interrupted' ELSE 'idle' END AS state FROM documents WHERE doc_id % 4 < 4 AND doc_id < 900 AND doc_id <> 7 UNION ALL SELECT 'new', NULL, false, NULL""")
+def library_changes(spark, sf_dir):
+    """A library of the first entries a library may have: loaded and repaired, lost stores forgotten, one entry removed, one added."""
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").where("doc_id < 900").select(F.concat(F.lit("g"), i).alias("id"), F.concat(F.lit("lib/g"), i).alias("source"), F.when(i % 4 > 0, F.concat(F.lit("s"), i)).alias("store"), (i % 3 > 0).alias("verified"), F.when(i % 5 == 0, "running").otherwise("idle").alias("state"), F.lit("old").alias("error"))
+    stores = rows.where("store is not null").where(F.substring("id", 2, 9).cast("long") % 4 != 1).select("store")
+    kept = op.remove(op.forget_stores(op.repaired(rows), stores), "g7")
+    new = spark.createDataFrame([("new", "lib/other")], "id string, source string")
+    return op.add(kept, new, "storage").select("id", "store", F.coalesce("verified", F.lit(False)).alias("verified"), "state")

@@ -83,3 +83,34 @@ def packing_plans(spark, sf_dir):
 def boundaries_ascending(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("text", "turn"))), lambda x: x["turn"]).alias("ends"))
     return rows.select("conv_id", op.ascending(F.col("ends")).alias("ascending"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'no plan' WHEN page_id % 5 = 0 THEN 'changed' END AS reason FROM pages WHERE page_id % 7 = 0 OR page_id % 5 = 0
+UNION ALL SELECT 1000000000 + page_id, 'no source' FROM pages WHERE page_id % 11 = 0""")
+def stale_plans(spark, sf_dir):
+    """Plans as they were stored, some lost, some of sources that are gone, some whose source has changed since."""
+    i = F.col("page_id")
+    ends = F.when(F.col("signature") == "zip-local-header", F.array(F.lit(10).cast("long"), F.col("size")))
+    rows = classed(spark, sf_dir).withColumn("candidate", i % 3 == 0).withColumn("boundaries", ends)
+    then = op.plans(rows.withColumn("candidate", F.when(i % 5 == 0, ~F.col("candidate")).otherwise(F.col("candidate"))), True, True).where(i % 7 != 0)
+    gone = op.plans(rows.where(i % 11 == 0).withColumn("page_id", i + 1000000000), True, True)
+    return op.stale(then.unionByName(gone), rows, "page_id", True, True)
+
+
+_SPARSE = """f AS (SELECT doc_id, hex(encode(left(coalesce(text, ''), 70))) || repeat('00', 100 + (doc_id % 50)::INT) || CASE WHEN doc_id % 3 = 0 THEN hex(encode(left(coalesce(text, ''), 30))) ELSE '' END AS h FROM documents),
+b AS (SELECT doc_id, h, i, substr(h, 64 * i + 1, 64) AS part FROM (SELECT doc_id, h, unnest(range(0, (len(h) + 63) // 64)) AS i FROM f)),
+d AS (SELECT doc_id, h, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b WHERE trim(part, '0') <> ''),
+e AS (SELECT doc_id, min(i) * 32 AS a, least((max(i) + 1) * 32, any_value(len(h)) // 2) AS z, any_value(h) AS h FROM d GROUP BY doc_id, run)"""
+
+
+@query(f"""WITH {_SPARSE} SELECT doc_id, coalesce((SELECT string_agg(a || '-' || z, ',' ORDER BY a) FROM e WHERE e.doc_id = f.doc_id), '') AS extents,
+sha256(unhex(coalesce((SELECT string_agg(printf('%02x%02x000000000000%02x%02x000000000000', a % 256, a // 256, z % 256, z // 256) || substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) FROM e WHERE e.doc_id = f.doc_id), ''))) AS fingerprint FROM f""")
+def data_extents(spark, sf_dir):
+    """Files with holes: beginnings of the texts, zeros, and for some of them a little text again."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    more = F.when(i % 3 == 0, F.encode(F.left(text, F.lit(30)), "UTF-8")).otherwise(F.lit(b""))
+    hole = F.unhex(F.repeat(F.lit("00"), (100 + i % 50).cast("int")))
+    f = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.encode(F.left(text, F.lit(70)), "UTF-8"), hole, more).alias("content"))
+    found = f.withColumn("found", op.extents(F.col("content"), 32))
+    shown = F.array_join(F.transform("found", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", shown.alias("extents"), op.extents_digest(F.col("content"), F.col("found")).alias("fingerprint"))

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import ranges as op
 from ..operators.chunking import fixed_chunks
+from ..operators.numbering import numbered
 from ..sources.adapters import CHUNK, CHUNKS, FILES, files, trace
 from .register import query
 
-#: Reads: each event of the trace reads from the document of its number; offsets run over the end.
+#: Reads: the events go round all documents; offsets run over the whole text and behind its end.
 _WANTED = """wanted AS (
-  SELECT event_id AS seq, f.path, event_id * 37 % 5000 AS "offset", CASE WHEN event_id % 9 = 0 THEN 0 ELSE event_id * 13 % 3000 END AS len, f.chars
-  FROM events JOIN (SELECT doc_id, path, length(content)::BIGINT AS chars FROM files) f ON f.doc_id = event_id % 997
+  SELECT event_id AS seq, f.path, event_id * 37 % (f.chars + 300) AS "offset", CASE WHEN event_id % 9 = 0 THEN 0 ELSE event_id * 13 % 3000 END AS len, f.chars
+  FROM events JOIN (SELECT path, length(content)::BIGINT AS chars, row_number() OVER (ORDER BY doc_id) - 1 AS nth, count(*) OVER () AS n FROM files) f ON f.nth = event_id % f.n
 )"""
 _MET = f"""{CHUNKS}, {_WANTED}, met AS (
   SELECT w.seq, w.path, c.ordinal, c.hash, greatest(0, w."offset" - c."offset") AS start, least(least(w."offset" + w.len, w.chars) - c."offset", c.raw_size) AS stop
@@ -21,11 +22,12 @@ _MET = f"""{CHUNKS}, {_WANTED}, met AS (
 
 
 def _inputs(spark, sf_dir):
-    whole = files(spark, sf_dir).select("doc_id", "path", F.length("content").cast("long").alias("size"), "content")
+    whole = files(spark, sf_dir).select("doc_id", "path", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("size"), "content")
+    nth = numbered(whole.select("doc_id", "path", "size"), ["doc_id"], "nth", 0)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"))
-    at = events.join(whole.select("doc_id", "path"), F.col("seq") % 997 == F.col("doc_id"))
+    at = events.withColumn("nth", F.col("seq") % max(1, whole.count())).join(nth, "nth")
     length = F.when(F.col("seq") % 9 == 0, 0).otherwise(F.col("seq") * 13 % 3000).cast("long")
-    reads = at.select("seq", "path", (F.col("seq") * 37 % 5000).alias("offset"), length.alias("len"))
+    reads = at.select("seq", "path", (F.col("seq") * 37 % (F.col("size") + 300)).alias("offset"), length.alias("len"))
     return reads, whole, whole.select("path", "content")
 
 
@@ -91,3 +93,11 @@ def reads_of(trace_rows):
 SELECT seq, path, k % 8 * 4096 AS "offset", 8192::BIGINT AS len, (['memory-cache', 'primary-local', 'remote-http'])[k % 3 + 1] AS source FROM t""")
 def replay_workload(spark, sf_dir):
     return reads_of(trace(spark, sf_dir))
+
+
+@query(f"""WITH {FILES}, nonempty AS (SELECT path, size, row_number() OVER (ORDER BY path) - 1 AS nth, count(*) OVER () AS n FROM files WHERE size > 0),
+asked AS (SELECT i AS seq, ('0x' || substr(md5('plan:file:' || i), 1, 12))::BIGINT AS file, ('0x' || substr(md5('plan:place:' || i), 1, 12))::BIGINT AS place, ([512, 2048, 8192])[i % 3 + 1] AS length FROM range(300) t(i))
+SELECT seq, path, place % (size - least(length, size) + 1) AS "offset", least(length, size)::BIGINT AS len FROM asked JOIN nonempty ON nth = file % n""")
+def planned_workload(spark, sf_dir):
+    """300 reads by a seed, of lengths in turn."""
+    return op.planned_reads(files(spark, sf_dir).select("path", "size"), 300, lengths=(512, 2048, 8192))

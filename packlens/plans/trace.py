@@ -43,9 +43,9 @@ def trace_source_counts(spark, sf_dir):
     return op.counts_by(trace(spark, sf_dir), "source")
 
 
-@query(f"WITH {TRACE} SELECT array_to_string(list_sort(list(DISTINCT session)), ',') AS sessions FROM trace")
+@query(f"WITH {TRACE} SELECT row_number() OVER (ORDER BY session) - 1 AS place, session FROM (SELECT DISTINCT session FROM trace)")
 def trace_sessions(spark, sf_dir):
-    return op.sessions(trace(spark, sf_dir)).select(F.array_join("sessions", ",").alias("sessions"))
+    return op.sessions(trace(spark, sf_dir))
 
 
 @query(f"WITH {TRACE} SELECT path, count(*) AS events FROM trace GROUP BY path ORDER BY events DESC, path LIMIT 20")
@@ -66,7 +66,7 @@ def trace_file_ids(spark, sf_dir):
 @query(f"""WITH {TRACE} SELECT op, quantile_disc(latency_ns, 0.5) AS p50, quantile_disc(latency_ns, 0.95) AS p95, quantile_disc(latency_ns, 0.99) AS p99
 FROM trace GROUP BY op""")
 def trace_latency_percentiles(spark, sf_dir):
-    return trace(spark, sf_dir).groupBy("op").agg(*(op.nearest_rank("latency_ns", p).alias(f"p{p}") for p in (50, 95, 99)))
+    return op.nearest_ranks(trace(spark, sf_dir), ["op"], "latency_ns")
 
 
 @query(f"WITH {_ADJACENT} SELECT path, count(*) AS reads, count(*) FILTER (sequential) AS sequential, 100.0::DOUBLE * (count(*) FILTER (sequential) / count(*)) AS percentage FROM adjacent GROUP BY path")

@@ -147,6 +147,25 @@ def normalize_scan(reports: DataFrame, files: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.coalesce("anti_cheat", F.array().cast("array<string>")))).alias("anti_cheat"), F.coalesce("index_truncated", F.lit(False)).alias("truncated"))
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Gives a folder another name, which must be free."""
+    fs, at = _at(spark, old)
+    if exists(spark, new):
+        raise FileExistsError(new)
+    if not fs.rename(at, _at(spark, new)[1]):
+        raise OSError(f"cannot publish {new}")
+
+
 def swap_in(df: DataFrame, path: str) -> None:
     """Replaces a Parquet table by df: written beside it, the old one kept as .backup, then renamed."""
     import uuid

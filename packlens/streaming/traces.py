@@ -33,6 +33,9 @@ _STATE = "start long, ended long, at_ms long, confidence long, forward long"
 
 def _observe(ttl_ms: int, least: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, ended, at, confidence, forward = state.get if state.exists else (-1, -1, 0, 0, 0)
         known = state.exists
         rows = pd.concat(list(batches)).sort_values("seq")
@@ -46,25 +49,40 @@ def _observe(ttl_ms: int, least: int):
             start, ended, at, known = offset, end, now, True
             out.append((key[0], seq, confidence, forward, confidence >= least))
         state.update((int(start), int(ended), int(at), int(confidence), int(forward)))
+        state.setTimeoutTimestamp(max(int(at) + ttl_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["path", "seq", "confidence", "forward_bytes", "sequential"])
 
     return run
 
 
-def sequences(reads: DataFrame, ttl_ms: int, least: int = 3) -> DataFrame:
-    """The sequence detector on a stream of good reads: state is one row a path."""
-    ship(reads.sparkSession)
-    return reads.groupBy("path").applyInPandasWithState(_observe(ttl_ms, least), OBSERVED, _STATE, "append", GroupStateTimeout.NoTimeout)
-
+def sequences(reads: DataFrame, ttl_ms: int, late: str, least: int = 3) -> DataFrame:
+    """The sequence detector on a stream of good reads: state is one row a path.
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """What a stream gives for all that is there now, as a table in memory. A checkpoint folder, where
-    given, is shared by all executors and must be the stream's own."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    A run ends ttl_ms after its last read; once the watermark, which is ``late`` behind the latest event,
+    has passed that, nothing can go on with it and its path's state is dropped. So there is state for the
+    paths of the last moments only, however many there have been.
+    """
+    ship(reads.sparkSession)
+    timed = reads.withColumn("at", F.timestamp_micros(F.expr("ts_ns div 1000"))).withWatermark("at", late)
+    return timed.groupBy("path").applyInPandasWithState(_observe(ttl_ms, least), OBSERVED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """What a stream gives for all that is there now, as a table in ``path``, a new folder that all executors
+    share; its checkpoint is there too. A batch that is tried again replaces what it wrote before. In
+    complete mode the last batch is the table."""
+    spark, schema = stream.sparkSession, stream.schema
+    last = -1
+
+    def keep(batch: DataFrame, number: int) -> None:
+        nonlocal last
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        last = number
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if last < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/rows/batch={last}" if mode == "complete" else f"{path}/rows").select(*schema.names)
 
 
 def open_table(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import random
 import struct
 import zipfile
@@ -314,14 +315,262 @@ def test_store_refuses_damage(spark):
     from packlens.sources.fixtures import mixed_entropy
 
     rows = [("a", bytearray(mixed_entropy(9000))), ("b", bytearray(mixed_entropy(9000))), ("c", bytearray(b"x"))]
-    chunks, objects = store.pack(spark.createDataFrame(rows, "path string, content binary"), 1000, 4000)
-    assert {r["path"]: r["size"] for r in store.unpack(chunks, objects).collect()} == {"a": 9000, "b": 9000, "c": 1}
+    made = store.pack(spark.createDataFrame(rows, "path string, content binary"), 1000, 4000)
+    files, chunks, objects = made
+    assert {r["path"]: r["size"] for r in store.unpacked_digests(made).collect()} == {"a": 9000, "b": 9000, "c": 1}
     assert objects.count() == chunks.select("hash").distinct().count() < chunks.count()
     assert validity.bad_coverage(objects.withColumn("pack_id", F.xxhash64("shard", "pack_id"))).isEmpty()
     with pytest.raises(Exception, match="missing object"):
-        store.unpack(chunks, objects.where("raw_size > 1")).collect()
+        store.unpack(made._replace(objects=objects.where("raw_size > 1"))).collect()
     with pytest.raises(Exception, match="damaged object"):
-        store.unpack(chunks, objects.withColumn("hash", F.reverse("hash"))).collect()
+        store.unpack(made._replace(objects=objects.withColumn("hash", F.reverse("hash")))).collect()
+    with pytest.raises(Exception, match="damaged file"):
+        store.unpack(made._replace(chunks=chunks.where("path <> 'a' or ordinal <> 2"))).collect()
+
+
+def test_store_keeps_what_is_empty_and_publishes_what_is_sound(spark, tmp_path):
+    from packlens.operators import store
+
+    rows = [("a/x", "file", bytearray(b"abc")), ("a/empty", "file", bytearray()), ("null", "file", None), ("bare/dir", "directory", None), ("b", "file", bytearray(b"abc" * 999))]
+    made = store.pack(spark.createDataFrame(rows, "path string, kind string, content binary"), 100)
+    path = f"file://{tmp_path}/store"
+    got = {r["path"]: (r["kind"], r["content"] and bytes(r["content"]) or r["content"]) for r in store.unpack(store.publish(made, path)).collect()}
+    assert got == {p: (k, None if k == "directory" else bytes(c or b"")) for p, k, c in rows}
+    with pytest.raises(FileExistsError):
+        store.publish(made, path)
+    with pytest.raises(Exception, match="missing object"):
+        store.publish(made._replace(objects=made.objects.limit(1)), f"file://{tmp_path}/bad")
+    assert not (tmp_path / "bad").exists()
+    none = store.pack(spark.createDataFrame([], "path string, content binary"), 100)
+    assert store.unpack(none).count() == 0
+
+
+def test_overlay_commit_checks_sizes(spark):
+    from packlens.operators import store
+
+    base = spark.createDataFrame([("d", 2, "directory", 493, 0), ("d/f", 3, "file", 420, 3), ("g", 4, "file", 420, 1)], "path string, id long, kind string, mode int, size long")
+    up = spark.createDataFrame([("n", 9, 420, "data", None, 2), ("h", 10, 420, "base", "d/f", 0), ("z", 11, 420, "data", None, 0)], "path string, id long, mode int, kind string, source string, size long")
+    dead = spark.createDataFrame([("g",)], "path string")
+    content = spark.createDataFrame([("d/f", bytearray(b"xyz")), ("g", bytearray(b"q"))], "path string, content binary")
+    written = spark.createDataFrame([("n", bytearray(b"ab"))], "path string, content binary")
+    got = {r["path"]: r["content"] and bytes(r["content"]) for r in store.unpack(store.commit(base, up, dead, content, written, 2)).collect()}
+    assert got == {"d": None, "d/f": b"xyz", "n": b"ab", "h": b"xyz", "z": bytearray()}
+    with pytest.raises(Exception, match="size of its record"):
+        store.unpack(store.commit(base, up, dead, content, written.where("false"), 2)).collect()
+
+
+def test_replays_are_compared_in_turns(spark):
+    from packlens.operators import store
+
+    rng = random.Random(2)
+    rows = spark.createDataFrame([("c", i, f"o{rng.randrange(9)}", 10) for i in range(80)], "cache string, seq long, object string, size long")
+    got = store.compare_replays(rows, 50, 3).orderBy("repetition", "place").collect()
+    assert [r["mode"] for r in got] == ["static", "adaptive", "adaptive", "static", "static", "adaptive"] and len({r["served"] for r in got}) == 1
+    with pytest.raises(ValueError):
+        store.compare_replays(rows, 50, 11)
+
+
+def test_observer_sees_progress_and_cancels(spark):
+    import time
+
+    from packlens.session import Cancelled, observed
+
+    seen = []
+    assert observed(spark, lambda: spark.range(1000).repartition(8).count(), lambda *x: seen.append(x) or True, 0.01) == 1000
+    assert all(a <= b for a, b in seen)
+
+    def slow(batches):
+        for batch in batches:
+            time.sleep(60)
+            yield batch
+
+    start = time.time()
+    with pytest.raises(Cancelled):
+        observed(spark, lambda: spark.range(4).mapInArrow(slow, "id long").count(), lambda *x: time.time() - start < 1, 0.1)
+    assert time.time() - start < 40
+
+
+def test_library_changes_are_checked(spark):
+    entries = spark.createDataFrame([("a", "lib/a", "s", True, "x", "running")], "id string, source string, store string, verified boolean, error string, state string")
+    for source in ("lib/a", "lib", "lib/a/b", "store/x"):
+        with pytest.raises(ValueError):
+            library.add(entries, spark.createDataFrame([("n", source)], "id string, source string"), "store")
+    assert library.add(entries, spark.createDataFrame([("n", "lib/ab")], "id string, source string"), "store").count() == 2
+    with pytest.raises(ValueError):
+        library.remove(entries, "b")
+    gone = library.forget_stores(library.repaired(entries), entries.select("store").where("false")).first()
+    assert (gone["store"], gone["verified"], gone["error"], gone["state"]) == (None, False, None, "interrupted")
+
+
+def test_planned_reads_are_inside_their_files(spark):
+    from packlens.operators.ranges import planned_reads
+
+    files = spark.createDataFrame([("a", 100), ("b", 0), ("c", 5_000_000)], "path string, size long")
+    got = planned_reads(files, 60).orderBy("seq").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in planned_reads(files, 60).orderBy("seq").collect()]
+    sizes = {"a": 100, "c": 5_000_000}
+    assert all(r["offset"] >= 0 and r["offset"] + r["len"] <= sizes[r["path"]] and r["len"] == min(sizes[r["path"]], (4096, 65536, 1048576)[i % 3]) for i, r in enumerate(got))
+    with pytest.raises(ValueError):
+        planned_reads(files.where("size = 0"), 3)
+
+
+def test_extents(spark):
+    from packlens.operators.profile import extents
+
+    texts = [b"", bytes(10), b"abcd" + bytes(9) + b"x", b"a" * 9, bytes(4) + b"b", b"a" + bytes(7) + b"bc" + bytes(20)]
+    rows = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "i int, t binary")
+    got = {r[0]: [tuple(x) for x in r[1]] for r in rows.select("i", extents(F.col("t"), 4)).collect()}
+    assert got == {0: [], 1: [], 2: [(0, 4), (12, 14)], 3: [(0, 9)], 4: [(4, 5)], 5: [(0, 4), (8, 12)]}
+
+
+def test_ranges_meet_once(spark):
+    from packlens.operators.ranges import meeting
+
+    rng = random.Random(3)
+    some = lambda n: [(rng.choice("pq"), i, (a := rng.randrange(500)), a + rng.randrange(90)) for i in range(n)]
+    left, right = some(60), some(60)
+    l, r = spark.createDataFrame(left, "path string, i int, a long, b long"), spark.createDataFrame(right, "path string, j int, c long, d long")
+    got = sorted((x["i"], x["j"]) for x in meeting(l, ("a", "b"), r, ("c", "d"), span=16).collect())
+    assert got == sorted((i, j) for p, i, a, b in left for q, j, c, d in right if p == q and a < b and c < d and a < d and c < b)
+
+
+def test_heat_by_spans(spark):
+    from packlens.operators import sequence
+
+    rng = random.Random(9)
+    paths = [rng.choice("aaaaaaabbc") for _ in range(1500)]
+    reads = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, seq long")
+    want = {}
+    for epoch, p in enumerate(paths, 1):
+        score, last = want.get(p, (0, epoch))
+        want[p] = (min(1024, (score >> min(31, (epoch - last) // 3)) + 1), epoch)
+    for span in (1 << 20, 40):
+        assert {r["path"]: (r["heat"], r["epoch"]) for r in sequence.heat(reads, 3, span).collect()} == want
+
+
+def test_nearest_ranks(spark):
+    from packlens.operators.trace import nearest_ranks
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([None, *range(50)])) for _ in range(700)] + [("z", 5), ("w", None)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    rank = lambda values, p: sorted(values)[max(1, -(-len(values) * p // 100)) - 1]
+    by = {}
+    for g, v in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    assert {r["g"]: (r["p50"], r["p95"], r["p99"]) for r in nearest_ranks(df, ["g"], "v").collect()} == {g: tuple(rank(v, p) for p in (50, 95, 99)) for g, v in by.items()}
+    whole = [v for _, v in rows if v is not None]
+    assert tuple(nearest_ranks(df, [], "v").first()) == tuple(rank(whole, p) for p in (50, 95, 99))
+
+
+def _plain_gear(data, least, average, most):
+    """The chunker as it is told, a byte at a time."""
+    bits = max(1, round(math.log2(average)))
+    ends, at = [], 0
+    while len(data) - at > least:
+        roll, end = 0, min(at + most, len(data))
+        for i in range(at + least, end):
+            roll = (2 * roll + chunking.GEAR[data[i]]) % 2**64
+            if roll % 2 ** (bits + 1 if i < at + average else max(1, bits - 1)) == 0:
+                end = i + 1
+                break
+        ends.append(end)
+        at = end
+    return ends + ([len(data)] if at < len(data) else [])
+
+
+def test_gear_cuts_equal_a_plain_loop():
+    rng = random.Random(5)
+    for _ in range(60):
+        data = bytes(rng.choices(rng.choice((b"a", b"ab", bytes(range(256)))), k=rng.choice((0, 1, 7, 300, 5000))))
+        least, average = rng.randint(1, 60), rng.randint(60, 300)
+        most = average + rng.randint(0, 600)
+        assert chunking.gear_cuts(data, least, average, most) == _plain_gear(data, least, average, most)
+
+
+def test_speculation_keeps_to_the_number_of_entries(monkeypatch):
+    monkeypatch.setattr(cachesim, "MOST_ENTRIES", 8)
+    cache = cachesim.Cache(100, True)
+    for i in range(8):
+        cache.access(i, 1, 100)
+    assert not cache.speculate("next", 1, 1) and len(cache.entries) == 8 and cache.count["evictions"] == 0 and cache.count["prefetch_skipped"] == 1
+    assert cache.speculate("next", 1, 200) and len(cache.entries) == 8 and cache.count["evictions"] == 1
+
+
+class _PlainCache:
+    """A cache as it is told: a list from the oldest on, searched anew for each victim."""
+
+    def __init__(self, capacity, most):
+        self.capacity, self.most, self.rows, self.epoch = capacity, most, [], 0
+        self.count = dict.fromkeys(cachesim.Cache.COUNTERS, 0)
+
+    def score(self, r):
+        return r["priority"] >> min(31, (self.epoch - r["epoch"]) // 64)
+
+    def held(self, rows):
+        return sum(r["size"] for r in rows)
+
+    def drop(self, rows):
+        for r in rows:
+            self.rows = [x for x in self.rows if x is not r]
+            self.count["evictions"] += 1
+            self.count["prefetch_wasted_bytes"] += r["size"] if r["ahead"] else 0
+
+    def put(self, key, size, priority, ahead):
+        self.rows.append({"key": key, "size": size, "priority": priority, "epoch": self.epoch, "ahead": ahead})
+        self.count["raw_bytes_loaded"] += size if ahead else 0
+        self.count["peak_bytes"] = max(self.count["peak_bytes"], self.held(self.rows))
+
+    def worst(self, rows):
+        return min(rows[:64], key=self.score)
+
+    def access(self, key, size, priority):
+        self.epoch += 1
+        for r in self.rows:
+            if r["key"] == key:
+                self.count["hits"] += 1
+                self.count["prefetch_useful_bytes"] += r["size"] if r["ahead"] else 0
+                r.update(priority=max(self.score(r) + 1, priority), epoch=self.epoch, ahead=False)
+                self.rows = [x for x in self.rows if x is not r] + [r]
+                return
+        self.count["misses"] += 1
+        self.count["raw_bytes_loaded"] += size
+        if 0 < size <= self.capacity:
+            while self.held(self.rows) + size > self.capacity or len(self.rows) >= self.most:
+                self.drop([self.worst(self.rows)])
+            self.put(key, size, priority, False)
+
+    def speculate(self, key, size, priority):
+        left, victims = list(self.rows), []
+        good = 0 < size <= self.capacity and all(r["key"] != key for r in left)
+        while good and (self.held(left) + size > self.capacity or len(left) >= self.most):
+            good = len(victims) < 64 and bool(left) and self.score(self.worst(left)) <= priority
+            if good:
+                victims.append(self.worst(left))
+                left = [x for x in left if x is not victims[-1]]
+        if not good:
+            self.count["prefetch_skipped"] += 1
+            return
+        self.drop(victims)
+        self.count["prefetch_loaded_bytes"] += size
+        self.put(key, size, priority, True)
+
+
+def test_adaptive_cache_equals_a_plain_model(monkeypatch):
+    monkeypatch.setattr(cachesim, "MOST_ENTRIES", 90)
+    for seed in range(6):
+        rng = random.Random(seed)
+        cache, plain = cachesim.Cache(400, True), _PlainCache(400, 90)
+        for _ in range(1500):
+            key, size, priority = rng.randrange(300), rng.choice((1, 2, 3, 9, 40, 500)), rng.randrange(6)
+            if rng.random() < 0.7:
+                cache.access(key, size, priority)
+                plain.access(key, size, priority)
+            else:
+                cache.speculate(key, size, priority)
+                plain.speculate(key, size, priority)
+        assert cache.count == plain.count and list(cache.entries) == [r["key"] for r in plain.rows]
 
 
 def test_overlay_directories(spark):
