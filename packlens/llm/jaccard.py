@@ -37,7 +37,7 @@ from .common import Saved, join_unique, parts, prepare
 from .components import components
 from .shingles import mix, shingle_sets
 
-ENTRIES_PER_BUCKET, ROWS_PER_FILE = 1_000_000, 500_000
+ENTRIES_PER_BUCKET, LEAST_BITS, ROWS_PER_FILE = 1_000_000, 6, 500_000
 BLOCK_ROWS, BLOCK_ENTRIES, BIN_ENTRIES = 2048, 1 << 20, 1 << 18
 #: Units of so many rows are multiplied together by runs of equal columns.
 RUNS = 32
@@ -395,14 +395,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = stats.df.where("n > 0").groupBy("f1").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), (F.min("f2") != F.max("f2")).alias("clash"))
         total, many, clash = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("clash"), F.lit(False))).first()
     sets = grouped.drop("clash")
-    bits = (parts(total // 2, per_bucket) - 1).bit_length()
+    bits = max(LEAST_BITS, (parts(total // 2, per_bucket) - 1).bit_length())
 
     dealt = source.mapInArrow(_deal(k, salt, num, den, bits), _DEALT)
     credit = dealt.groupBy("bucket").applyInArrow(_shared, "f1 long, credit long").groupBy("f1").agg(F.sum("credit").alias("credit"))
     least = F.expr(f"greatest(1, ({num} * n + {den} - 1) div {den} div 4)")
     rest = Saved(sets.join(credit, "f1").where(F.col("credit") >= least).select("rep", "n"), "rest", parts(many, ROWS_PER_FILE))
     left = rest.df.agg(F.sum("n")).first()[0] or 0
-    bits = (parts(left, per_bucket) - 1).bit_length()
+    bits = max(LEAST_BITS, (parts(left, per_bucket) - 1).bit_length())
     reps = rest.df.select("rep").distinct()
     blocks = Saved(source.join(reps, source["id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(_blocks(k, salt), _BLOCKS), "blocks")
 
