@@ -91,3 +91,13 @@ def may_access(mode: Column, owner: Column, group: Column, uid: int, gid: int, r
     can_read = F.lit(uid == 0) | (bits.bitwiseAND(4) != 0)
     can_run = (mode.bitwiseAND(0o111) != 0) if uid == 0 else (bits.bitwiseAND(1) != 0)
     return (can_read if read else F.lit(True)) & (can_run if execute else F.lit(True))
+
+
+def valid_text(column: Column, most: int) -> Column:
+    """A label: not empty, at most so many bytes, no control characters or slashes of either kind."""
+    return F.coalesce((F.octet_length(column).between(1, most)) & ~column.rlike(r"[\p{Cc}/\\]"), F.lit(False))
+
+
+def valid_key(column: Column) -> Column:
+    """A key: 1 to 64 ASCII letters, digits and hyphens."""
+    return F.coalesce(column.rlike(r"\A[A-Za-z0-9-]{1,64}\z"), F.lit(False))

@@ -202,8 +202,21 @@ def forget_stores(entries: DataFrame, stores: DataFrame) -> DataFrame:
     return joined.select(*(F.when(lost, F.lit(False) if c == "verified" else F.lit(None)).otherwise(F.col(c)).alias(c) if c in ("store", "verified", "error") else F.col(c) for c in entries.columns))
 
 
-def repaired(entries: DataFrame) -> DataFrame:
-    """A library as it is loaded after a stop: what was running is interrupted, and a store that is not
-    registered cannot be verified."""
-    state = F.when(F.col("state").isin("running", "starting", "stopping"), "interrupted").otherwise(F.col("state"))
-    return entries.withColumn("state", state).withColumn("verified", F.coalesce(F.col("verified") & F.col("store").isNotNull(), F.lit(False)))
+def loaded_jobs(jobs: DataFrame, now: int) -> DataFrame:
+    """Jobs as they are after a start: what was running was interrupted, and ended now. jobs: state,
+    cancellable, finished_at, error and others."""
+    stopped = F.col("state") == "running"
+    change = {"state": F.lit("interrupted"), "cancellable": F.lit(False), "finished_at": F.lit(now).cast("long"), "error": F.lit("stopped before completion")}
+    return jobs.select(*(F.when(stopped, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in jobs.columns))
+
+
+def loaded(entries: DataFrame, sources: DataFrame, committed: DataFrame) -> DataFrame:
+    """Entries as they are after a start. A session that was kept needs attention; a store that is not
+    among ``committed`` (store) is not verified, whatever was kept of it; a source that is not among
+    ``sources`` (source) is an error to show. entries: source, store, verified, session, error and others."""
+    known = lambda t, c: t.select(c).distinct().withColumn(f"__{c}", F.lit(True))
+    joined = entries.join(known(sources, "source"), "source", "left").join(known(committed, "store"), "store", "left")
+    lost = F.col("store").isNotNull() & F.col("__store").isNull()
+    error = F.when(lost, "store missing or incomplete").when(F.col("__source").isNull(), "source missing").otherwise(F.col("error"))
+    change = {"verified": F.col("verified") & ~lost, "error": error, "session": F.when(F.col("session").isNotNull(), "needs_attention")}
+    return joined.select(*(change[c].alias(c) if c in change else F.col(c) for c in entries.columns))

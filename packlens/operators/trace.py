@@ -130,14 +130,20 @@ def admitted(trace: DataFrame) -> DataFrame:
     return trace.withColumn("admitted", F.coalesce(fits, F.lit(False)))
 
 
-def accounting(trace: DataFrame, queue: int) -> DataFrame:
+def accounting(trace: DataFrame, queue: int, fails_at: int | None = None) -> DataFrame:
     """What a bounded queue that is emptied after every ``queue`` arrivals would write and drop.
 
     Of the events of one period, what does not fit or is over-long is dropped and counted; seen =
-    written + dropped always.
+    written + dropped always. ``fails_at`` is the seq from which on the writer fails: its first kept
+    event is the one error, and from there on all are dropped. queue_high_watermark is the most that
+    stood in the queue in the period.
     """
     period = F.floor(F.col("seq") / (2 * queue))
     place = F.row_number().over(Window.partitionBy("period").orderBy("seq"))
-    arrived = admitted(trace).withColumn("period", period).withColumn("kept", F.col("admitted") & (place <= queue))
-    out = arrived.groupBy("period").agg(F.count("*").alias("seen"), F.count_if("kept").alias("written"), F.count_if(~F.col("kept")).alias("dropped"))
+    arrived = admitted(trace).withColumn("period", period).withColumn("queued", F.col("admitted") & (place <= queue))
+    works = F.lit(True) if fails_at is None else F.col("seq") < fails_at
+    first = None if fails_at is None else arrived.where(F.col("queued") & ~works).agg(F.min("seq")).first()[0]
+    kept = F.col("queued") & works
+    failed = F.col("seq") == first if first is not None else F.lit(False)
+    out = arrived.groupBy("period").agg(F.count("*").alias("seen"), F.count_if(kept).alias("written"), F.count_if(~kept).alias("dropped"), F.count_if("queued").alias("queue_high_watermark"), F.count_if(failed).alias("writer_errors"))
     return out.withColumn("conserved", F.col("seen") == F.col("written") + F.col("dropped"))

@@ -186,13 +186,23 @@ def backup_violations(spark, sf_dir):
     return op.backup_violations(rows)
 
 
-@query("""SELECT 'g' || doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 0 THEN NULL ELSE 's' || doc_id END AS store, doc_id % 4 > 1 AND doc_id % 3 > 0 AS verified,
-CASE WHEN doc_id % 5 = 0 THEN 'interrupted' ELSE 'idle' END AS state FROM documents WHERE doc_id % 4 < 4 AND doc_id < 900 AND doc_id <> 7 UNION ALL SELECT 'new', NULL, false, NULL""")
+@query("""SELECT 'g' || doc_id AS id, CASE WHEN doc_id % 4 > 1 THEN 's' || doc_id END AS store, doc_id % 4 > 1 AND doc_id % 3 > 0 AS verified, CASE WHEN doc_id % 5 = 0 THEN 'needs_attention' END AS session,
+CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 6 = 0 THEN 'source missing' ELSE 'old' END AS error FROM documents WHERE doc_id < 900 AND doc_id <> 7 UNION ALL SELECT 'new', NULL, false, NULL, NULL""")
 def library_changes(spark, sf_dir):
-    """A library of the first entries a library may have: loaded and repaired, lost stores forgotten, one entry removed, one added."""
+    """A library of the first entries, no more than one may have: loaded, lost stores forgotten, one entry removed, one added."""
     i = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").where("doc_id < 900").select(F.concat(F.lit("g"), i).alias("id"), F.concat(F.lit("lib/g"), i).alias("source"), F.when(i % 4 > 0, F.concat(F.lit("s"), i)).alias("store"), (i % 3 > 0).alias("verified"), F.when(i % 5 == 0, "running").otherwise("idle").alias("state"), F.lit("old").alias("error"))
-    stores = rows.where("store is not null").where(F.substring("id", 2, 9).cast("long") % 4 != 1).select("store")
-    kept = op.remove(op.forget_stores(op.repaired(rows), stores), "g7")
+    rows = table(spark, sf_dir, "documents").where("doc_id < 900").select(F.concat(F.lit("g"), i).alias("id"), F.concat(F.lit("lib/g"), i).alias("source"), F.when(i % 4 > 0, F.concat(F.lit("s"), i)).alias("store"), (i % 3 > 0).alias("verified"), F.when(i % 5 == 0, "running").alias("session"), F.lit("old").alias("error"))
+    nth = F.substring("id", 2, 9).cast("long")
+    stores, sources = rows.where("store is not null").where(nth % 4 != 1).select("store"), rows.where(nth % 6 != 0).select("source")
+    seen = op.loaded(rows, sources, stores).withColumn("verified", F.col("verified") & F.col("store").isNotNull())
+    kept = op.remove(op.forget_stores(seen, stores), "g7")
     new = spark.createDataFrame([("new", "lib/other")], "id string, source string")
-    return op.add(kept, new, "storage").select("id", "store", F.coalesce("verified", F.lit(False)).alias("verified"), "state")
+    return op.add(kept, new, "storage").select("id", "store", F.coalesce("verified", F.lit(False)).alias("verified"), "session", "error")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'interrupted' ELSE event_type END AS state, event_type <> 'view' AND user_id % 2 = 0 AS cancellable,
+CASE WHEN event_type = 'view' THEN 99 ELSE user_id END AS finished_at, CASE WHEN event_type = 'view' THEN 'stopped before completion' END AS error FROM events""")
+def jobs_after_start(spark, sf_dir):
+    """Jobs of which those that were running have been interrupted."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "running").otherwise(F.col("event_type")).alias("state"), (F.col("user_id") % 2 == 0).alias("cancellable"), F.col("user_id").cast("long").alias("finished_at"), F.lit(None).cast("string").alias("error"))
+    return op.loaded_jobs(e, 99)

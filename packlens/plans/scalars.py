@@ -58,9 +58,15 @@ def number_functions(spark, sf_dir):
         numbers.savings(n, known).alias("savings"), read_priority(n, known).alias("priority"), numbers.disk_budget(n, c, 262144, False, 2).alias("budget"))
 
 
-@query()
+_DRAWS = f"""RECURSIVE states AS (SELECT 0 AS i, 11400714819323198485::HUGEINT AS x UNION ALL
+  SELECT i + 1, xor(c, (c << 17) & {numbers.MASK}::HUGEINT) FROM (SELECT i, xor(b, b >> 7) AS c FROM (SELECT i, xor(x, (x << 13) & {numbers.MASK}::HUGEINT) AS b FROM states WHERE i < 64))
+), draws AS (SELECT i, (CASE WHEN x > {numbers.MASK >> 1} THEN x - {numbers.MASK}::HUGEINT - 1 ELSE x END)::BIGINT AS draw FROM states)"""
+
+
+@query(f"""WITH {_DRAWS}, {FILES}, b AS (SELECT path, size, draw, ([{", ".join(map(str, numbers.BORDERS))}, greatest(0, size - 37), size, size + 1])[doc_id % 16 + 1] AS border FROM files JOIN draws ON i = doc_id % 64 + 1)
+SELECT path, size, draw, CASE WHEN border <= size + 1 THEN border ELSE (draw % greatest(1, size) + greatest(1, size)) % greatest(1, size) END AS "offset" FROM b""")
 def xorshift_offsets(spark, sf_dir):
-    """Drawn and border offsets of read probes; tested against the generator in plain arithmetic."""
+    """Drawn and border offsets of read probes."""
     d = files(spark, sf_dir).select("path", "size", "doc_id")
     draw = numbers.xorshift_column(0x9E3779B97F4A7C15, F.col("doc_id") % 64 + 1)
     return d.withColumn("draw", draw).withColumn("offset", numbers.probe_offset(F.col("doc_id") % 16, F.col("size"), F.col("draw"))).select("path", "size", "draw", "offset")
@@ -71,3 +77,12 @@ def query_safety(spark, sf_dir):
     path = F.when(F.col("user_id") == 3, "a/../b").when(F.col("user_id") % 7 == 0, "a\\b").otherwise("a/b..c")
     length = F.when(F.col("value") > 300, (16 << 20) + 1).otherwise(4096)
     return table(spark, sf_dir, "events").select("event_id", paths.safe_query(path, length, F.lit(0)).alias("safe"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN left(text, 30) WHEN 1 THEN 'key-' || doc_id WHEN 2 THEN 'a/b' WHEN 3 THEN '' WHEN 4 THEN 'tab' || chr(9) || 'x' ELSE repeat('é', 10 + doc_id % 40) END AS s FROM documents)
+SELECT doc_id, coalesce(strlen(s) BETWEEN 1 AND 64 AND NOT regexp_matches(s, '[\x00-\x1f\x7f\x{80}-\x{9f}/\\]'), false) AS label, coalesce(regexp_full_match(s, '[A-Za-z0-9-]{1,64}'), false) AS key FROM t""")
+def text_validity(spark, sf_dir):
+    """Which texts can be labels and which keys."""
+    i = F.col("doc_id")
+    odd = F.when(i % 6 == 0, F.left("text", F.lit(30))).when(i % 6 == 1, F.concat(F.lit("key-"), i)).when(i % 6 == 2, "a/b").when(i % 6 == 3, "").when(i % 6 == 4, "tab\tx").otherwise(F.repeat(F.lit("é"), (10 + i % 40).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", odd.alias("s")).select("doc_id", paths.valid_text(F.col("s"), 64).alias("label"), paths.valid_key(F.col("s")).alias("key"))

@@ -84,11 +84,21 @@ def trace_distinct_ranges(spark, sf_dir):
 @query(f"""WITH {TRACE}, arrived AS (
   SELECT seq // 2048 AS period, row_number() OVER (PARTITION BY seq // 2048 ORDER BY seq) <= 1024 AS kept FROM trace
 ) SELECT period, count(*) AS seen, count(*) FILTER (kept) AS written, count(*) FILTER (NOT kept) AS dropped,
-         count(*) = count(*) FILTER (kept) + count(*) FILTER (NOT kept) AS conserved FROM arrived GROUP BY period""")
+         count(*) FILTER (kept) AS queue_high_watermark, 0 AS writer_errors, count(*) = count(*) FILTER (kept) + count(*) FILTER (NOT kept) AS conserved FROM arrived GROUP BY period""")
 def trace_drop_accounting(spark, sf_dir):
     return op.accounting(trace(spark, sf_dir), 1024)
 
 
+@query(f"""WITH {TRACE}, arrived AS (
+  SELECT seq, seq // 200 AS period, row_number() OVER (PARTITION BY seq // 200 ORDER BY seq) <= 100 AS queued FROM trace
+), judged AS (SELECT *, queued AND seq < 500 AS kept, seq = (SELECT min(seq) FROM arrived WHERE queued AND seq >= 500) AS failed FROM arrived)
+SELECT period, count(*) AS seen, count(*) FILTER (kept) AS written, count(*) FILTER (NOT kept) AS dropped, count(*) FILTER (queued) AS queue_high_watermark,
+       count(*) FILTER (failed) AS writer_errors, count(*) = count(*) FILTER (kept) + count(*) FILTER (NOT kept) AS conserved FROM judged GROUP BY period""")
+def trace_writer_failure(spark, sf_dir):
+    """A writer that fails at the 500th event: all behind it is dropped and counted."""
+    return op.accounting(trace(spark, sf_dir), 100, 500)
+
+
 @query(f"""WITH {TRACE}, reads AS (SELECT path, bool_or(cache IN ('hit', 'mixed')) AS hit, bool_or(cache IN ('miss', 'mixed')) AS miss,
          count(DISTINCT source) AS sources, min(source) AS one, bool_or(NOT success) AS failed FROM trace WHERE op = 'read' GROUP BY session, path, "offset")
 SELECT CASE WHEN hit AND miss THEN 'mixed' WHEN hit THEN 'hit' WHEN miss THEN 'miss' ELSE 'bypass' END AS outcome,

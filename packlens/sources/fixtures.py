@@ -26,3 +26,18 @@ def two_versions(size: int, seed: int = 2) -> tuple[bytes, bytes]:
     there = len(new) * 3 // 4
     new[there : there + size // 250] = rng.randbytes(size // 250)
     return old, bytes(new)
+
+
+def sparse_tree(world_bytes: int = 1 << 22, seed: int = 5042, regions: int = 16) -> dict[str, bytes]:
+    """A small tree of files by path: text, settings, repeated and random bytes, an empty file, and a world that is
+    zero but for marked regions, at its ends, across a chunk's border and at drawn places."""
+    if world_bytes < 1 << 20:
+        raise ValueError("a world has 1 MiB at least")
+    rng = random.Random(seed)
+    room = world_bytes - 4 * KIB
+    places = sorted({0, 256 * KIB - KIB, room, *(rng.randrange(room) for _ in range(regions))})
+    world = bytearray(world_bytes)
+    for place in places:
+        world[place : place + 4 * KIB] = random.Random(seed ^ place).randbytes(4 * KIB)
+    ramp = bytes(range(256))
+    return {"readme.txt": b"a generated tree\n", "config.json": b'{"seed": %d}\n' % seed, "assets/empty.bin": b"", "assets/texture.dat": (b"texture" + ramp) * 64, "assets/noise.dat": rng.randbytes(64 * KIB), "audio.dat": (b"audio" + ramp) * 128, "world.dat": bytes(world)}

@@ -345,6 +345,22 @@ def test_store_keeps_what_is_empty_and_publishes_what_is_sound(spark, tmp_path):
     assert store.unpack(none).count() == 0
 
 
+def test_a_sparse_tree_goes_through_a_store(spark):
+    from packlens.operators import store
+    from packlens.operators.profile import extents
+    from packlens.sources.fixtures import sparse_tree
+
+    files = sparse_tree(1 << 20)
+    assert files == sparse_tree(1 << 20) != sparse_tree(1 << 20, seed=1)
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+    made = store.pack(df, 1 << 16)
+    assert {r["path"]: bytes(r["content"]) for r in store.unpack(made).collect()} == files
+    assert made.chunks.where("path = 'world.dat'").select("hash").distinct().count() <= 17
+    found = df.where("path = 'world.dat'").select(extents(F.col("content"), 4096).alias("e")).first()["e"]
+    held = sum(e["end"] - e["start"] for e in found)
+    assert 0 < held < 1 << 18 and found[0]["start"] == 0 and found[-1]["end"] == 1 << 20
+
+
 def test_overlay_commit_checks_sizes(spark):
     from packlens.operators import store
 
@@ -391,15 +407,45 @@ def test_observer_sees_progress_and_cancels(spark):
 
 
 def test_library_changes_are_checked(spark):
-    entries = spark.createDataFrame([("a", "lib/a", "s", True, "x", "running")], "id string, source string, store string, verified boolean, error string, state string")
+    entries = spark.createDataFrame([("a", "lib/a", "s", True, None, "running")], "id string, source string, store string, verified boolean, error string, session string")
     for source in ("lib/a", "lib", "lib/a/b", "store/x"):
         with pytest.raises(ValueError):
             library.add(entries, spark.createDataFrame([("n", source)], "id string, source string"), "store")
     assert library.add(entries, spark.createDataFrame([("n", "lib/ab")], "id string, source string"), "store").count() == 2
     with pytest.raises(ValueError):
         library.remove(entries, "b")
-    gone = library.forget_stores(library.repaired(entries), entries.select("store").where("false")).first()
-    assert (gone["store"], gone["verified"], gone["error"], gone["state"]) == (None, False, None, "interrupted")
+    none = entries.select("store").where("false")
+    seen = library.loaded(entries, entries.select("source"), none)
+    assert tuple(seen.first()) == ("a", "lib/a", "s", False, "store missing or incomplete", "needs_attention")
+    assert tuple(library.forget_stores(seen, none).first()) == ("a", "lib/a", None, False, None, "needs_attention")
+    assert tuple(library.loaded(entries, none.withColumnRenamed("store", "source"), entries.select("store")).first()) == ("a", "lib/a", "s", True, "source missing", "needs_attention")
+
+
+def test_a_writer_that_fails_drops_the_rest(spark):
+    rows = [(i, "s" * (1 if i % 5 else 99), "w", "p", "read", "hit", "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "seq long, session string, worker string, path string, op string, cache string, source string")
+    got = {r["period"]: r for r in trace.accounting(df, 10, 47).collect()}
+    assert all(r["seen"] == r["written"] + r["dropped"] and r["conserved"] for r in got.values()) and sum(r["seen"] for r in got.values()) == 100
+    assert [got[p]["writer_errors"] for p in range(5)] == [0, 0, 1, 0, 0] and got[3]["written"] == got[4]["written"] == 0
+    assert got[2]["written"] == sum(1 for i in range(40, 47) if i % 5) and got[0]["queue_high_watermark"] == 8  # two are too long
+
+
+def test_a_cache_with_a_loader(spark):
+    loads = []
+
+    def loader(key):
+        loads.append(key)
+        if key == "bad":
+            raise OSError(key)
+        return key.encode() * 3, "remote-http" if key > "b" else "primary-local"
+
+    cache = cachesim.LoadingCache(10, False)
+    assert [cache.get(k, loader) for k in ("a", "c", "a")] == [(b"aaa", "primary-local"), (b"ccc", "remote-http"), (b"aaa", "memory-cache")]
+    with pytest.raises(OSError):
+        cache.get("bad", loader)
+    assert list(cache.entries) == ["c", "a"] and cache.by_source == {"primary-local": 1, "remote-http": 1} and cache.count["raw_bytes_loaded"] == 6
+    cache.get("dd", loader)  # six bytes more than there is room for: the oldest goes
+    assert set(cache.held) == set(cache.entries) == {"a", "dd"} and loads == ["a", "c", "bad", "dd"]
 
 
 def test_planned_reads_are_inside_their_files(spark):
