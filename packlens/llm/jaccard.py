@@ -113,7 +113,7 @@ def _deal(k: int, salt: int, num: int, den: int, bits: int):
             some = credit > 0
             none = np.zeros(0, np.uint32)
             if some.any():
-                put(int(ids[0]) & 0xFFFF | 1 << 30, none, ids[some], credit[some], none)
+                put(int(np.bitwise_xor.reduce(ids)) & 0xFFFF | 1 << 30, none, ids[some], credit[some], none)
             known = keys[new][times > 1]
             keys, owner = keys[~met], owner[~met]
             bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
