@@ -27,7 +27,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "number", fir
     offsets = placed.sparkSession.createDataFrame(list(starts.items()) or [(0, 0)], "__part long, __start long") if len(starts) > 64 else None
     if offsets is None:
         return placed.withColumn(name, (F.element_at(before, part) + F.col("__place").bitwiseAND(_LOCAL)).cast("long")).drop("__place")
-    joined = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row a partition
+    joined = placed.withColumn("__part", part).join(offsets, "__part")  # one row a partition
     return joined.withColumn(name, F.col("__start") + F.col("__place").bitwiseAND(_LOCAL)).drop("__place", "__part", "__start")
 
 

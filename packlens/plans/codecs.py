@@ -105,3 +105,21 @@ def log_events(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(F.struct(F.col("event_type").alias("event"), "event_id", "user_id")).alias("value")).write.text(path)
     line = lambda name: F.get_json_object("value", f"$.{name}").cast("long").alias(name)
     return metric_event(spark, path, "click").select(line("event_id"), line("user_id"))
+
+
+@query("""SELECT 'c' || doc_id // 50 AS "commit", 'game-' || doc_id AS identity, 'bin/d' || doc_id AS target, (['plain', 'save', 'missing', 'crash'])[doc_id % 4 + 1] AS launcher,
+CASE WHEN doc_id % 4 > 1 THEN 'Broken' ELSE 'Tested' END AS status, doc_id // 50 % 3 <> 1 AS passed FROM documents""")
+def receipt_records(spark, sf_dir):
+    """Receipts of compatibility runs written as JSON, fifty programs each, read strictly and taken apart."""
+    from ..sources import documents
+
+    i = F.col("doc_id")
+    none = F.array().cast("array<struct<level:string,receipt:string,commit:string>>")
+    launcher = F.element_at(F.array(*map(F.lit, ("plain", "save", "missing", "crash"))), (i % 4 + 1).cast("int"))
+    profile = {"game_identifier": F.concat(F.lit("game-"), i), "launch_target": F.concat(F.lit("bin/d"), i), "launcher_type": launcher, "status": F.when(i % 4 > 1, "Broken").otherwise("Tested"), "evidence": none, "limitations": F.array(F.lit("generated"))}
+    record = F.struct(*(c.alias(k) for k, c in profile.items()))
+    tested = F.struct(record.alias("record"), F.sha2("text", 256).alias("source_before_hash"), F.sha2("text", 256).alias("source_after_hash"), F.lit("PASS").alias("pass_fail"))
+    run = F.floor(i / 50)
+    receipts = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(run.alias("run")).agg(F.collect_list(tested).alias("records"))
+    whole = F.struct(F.lit(1).alias("schema"), F.lit("simulation").alias("evidence_level"), F.concat(F.lit("c"), "run").alias("commit_SHA"), "records", F.when(F.col("run") % 3 == 1, "FAIL").otherwise("PASS").alias("pass_fail"))
+    return documents.receipt_rows(documents.strict(receipts.select(F.to_json(whole).alias("value")), documents.RECEIPT, version=None))

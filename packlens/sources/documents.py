@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import valid_path
+from ..functions.paths import valid_key, valid_path
 
 MOST_LINE = 256 << 10
 
@@ -45,6 +45,13 @@ _ENGINE = _record(key="str", confidence="int", version="str", evidence=_many("st
 SCANNER = _record(
     path="str", name="str", store="str", appid="str", engine=_ENGINE, other_engine_signals=_many(_record(key="str", evidence=_many("str"))),
     anti_cheat=_many("str"), executables=_by_name(_record(managed="bool", arch="str")), index_truncated="bool")
+_EVIDENCE = _record(level="str", receipt="str", commit="str")
+_PROFILE = _record(game_identifier="str", launch_target="str", launcher_type="str", status="str", os="str", architecture="str", tested_version="str", test_date="str", evidence=_many(_EVIDENCE), limitations=_many("str"))
+_TESTED = _record(record=_PROFILE, source_before_hash="str", source_after_hash="str", pass_fail="str")
+RECEIPT = _record(schema="int", evidence_level="str", commit_SHA="str", records=_many(_TESTED), fixture_sha256="str", commercial_game_compatibility="str", pass_fail="str", error="str")
+# How a tested program is run, and what may be said of it.
+LAUNCHERS = ("plain", "launcher", "multiple", "case", "save", "missing", "crash")
+STATUSES = ("Tested", "Broken", "Unsupported")
 # Engine keys and their labels.
 ENGINES = {
     "unity-mono": "Unity (Mono)", "unity-il2cpp": "Unity (IL2CPP)", "unreal": "Unreal Engine", "godot": "Godot", "gamemaker": "GameMaker", "source": "Source 1", "source2": "Source 2",
@@ -166,6 +173,20 @@ def move(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot publish {new}")
 
 
+def receipt_rows(receipts: DataFrame) -> DataFrame:
+    """commit, identity, target, launcher, status, passed: a row for each program that a receipt (RECEIPT rows)
+    says was tested. An unsafe identity or target, a launcher or status there is none of, more than 128
+    programs, or a source that the test has changed is an error."""
+    r = receipts.select(F.col("commit_SHA").alias("commit"), "records", (F.col("pass_fail") == "PASS").alias("all_passed"))
+    bounded = F.when(F.size("records") <= 128, F.col("records")).otherwise(F.raise_error(F.lit("too many records")))
+    t = r.select("commit", "all_passed", F.explode(bounded).alias("t")).select("commit", "all_passed", "t.*").select("*", "record.*")
+    good = valid_key(F.col("game_identifier")) & valid_path(F.col("launch_target")) & ~F.contains("launch_target", F.lit(":"))
+    known = F.col("launcher_type").isin(*LAUNCHERS) & F.col("status").isin(*STATUSES)
+    wrong = F.when(~F.coalesce(good, F.lit(False)), "unsafe profile").when(~F.coalesce(known, F.lit(False)), "unknown launcher or status").when(~F.col("source_before_hash").eqNullSafe(F.col("source_after_hash")), "source changed")
+    identity = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), F.coalesce("game_identifier", F.lit("null"))))).otherwise(F.col("game_identifier"))
+    return t.select("commit", identity.alias("identity"), F.col("launch_target").alias("target"), F.col("launcher_type").alias("launcher"), "status", ((F.col("pass_fail") == "PASS") & F.col("all_passed")).alias("passed"))
+
+
 def swap_in(df: DataFrame, path: str) -> None:
     """Replaces a Parquet table by df: written beside it, the old one kept as .backup, then renamed."""
     import uuid

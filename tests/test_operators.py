@@ -226,6 +226,22 @@ def test_strict_json(spark):
             documents.strict(rows(bad), documents.TRACE).collect()
 
 
+def test_receipts_refuse_what_is_unsafe(spark):
+    import json
+
+    good = {"record": {"game_identifier": "g-1", "launch_target": "bin/x", "launcher_type": "plain", "status": "Tested", "evidence": [], "limitations": []}, "source_before_hash": "a", "source_after_hash": "a", "pass_fail": "PASS"}
+
+    def read(**change):
+        one = good | {k: v for k, v in change.items() if k in good} | {"record": good["record"] | {k: v for k, v in change.items() if k not in good}}
+        text = json.dumps({"schema": 1, "commit_SHA": "c", "records": [one] * change.get("times", 1), "pass_fail": "PASS"}) if "times" not in change else json.dumps({"schema": 1, "commit_SHA": "c", "records": [good] * change["times"], "pass_fail": "PASS"})
+        return documents.receipt_rows(documents.strict(spark.createDataFrame([(text,)], "value string"), documents.RECEIPT, version=None)).collect()
+
+    assert [tuple(r) for r in read()] == [("c", "g-1", "bin/x", "plain", "Tested", True)] and len(read(times=128)) == 128
+    for change in ({"game_identifier": "a/b"}, {"launch_target": "../x"}, {"launch_target": "/x"}, {"launcher_type": "script"}, {"status": "Fine"}, {"source_after_hash": "b"}, {"times": 129}):
+        with pytest.raises(Exception):
+            read(**change)
+
+
 def test_swap_in_keeps_the_last_table(spark, tmp_path):
     path = f"file://{tmp_path}/library"
     for n in (1, 2, 3):
