@@ -102,7 +102,8 @@ def join_unique(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, t
     salt, is_hot = free([*rows.columns, *facts.columns], "salt"), free([*rows.columns, *facts.columns], "hot")
     hot = F.coalesce(F.col(weight) > most, F.lit(False))
     keys = (facts if weights is None else weights).where(hot).select(*on, F.lit(True).alias(is_hot))
-    dealt = F.when(F.col(is_hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    dealt = F.when(F.col(is_hot), F.pmod(F.xxhash64(*hashed), F.lit(SALTS))).otherwise(0).cast("int")
     salted = rows.join(F.broadcast(keys), on, "left").withColumn(salt, dealt).drop(is_hot)
     repeated = facts.withColumn(salt, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(repeated, [*on, salt], "left").drop(salt)
