@@ -79,7 +79,8 @@ def source_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     bucket = F.floor(_draw(F.col(f"`{id_col}`"), seed) * BUCKETS).alias("bucket")
     tally = Saved(docs.groupBy(F.col(f"`{source_col}`").alias("source"), bucket).agg(F.sum(words(F.col(f"`{text_col}`"))).alias("words")), "sources").df
-    return _turns(tally, _targets(tally.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most))
+    targets = _targets(tally.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    return Saved(_turns(tally, targets), "targets").df  # so that its size is known where documents are joined with it
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
