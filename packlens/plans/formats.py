@@ -18,6 +18,9 @@ from ..sources.tables import scratch
 from .chunks import chunks
 from .register import query
 
+#: Bytes of a file that tree_scan writes, about.
+TREE_FILE = 4 << 20
+
 
 @query(f"""WITH {TRACE} SELECT seq, version, session, ts_ns, op, path, "offset", requested, returned::DECIMAL(20, 0) AS returned, latency_ns, cache, source, worker, success FROM trace""")
 def trace_json_round_trip(spark, sf_dir):
@@ -137,10 +140,22 @@ def empty_scan(spark, sf_dir):
 
 @query(f"""WITH {FILES} SELECT split_part(path, '/', 1) AS directory, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1""")
 def tree_scan(spark, sf_dir):
-    """The texts of each source written as a tree of files and scanned again."""
+    """The texts of each source written as a tree of files and scanned again.
+
+    A scanned file is one row, so a source's texts, one a line, are dealt out to files of about TREE_FILE
+    bytes (one with a longer text is longer). Names are written in hex and every line begins with a mark,
+    so that no name is escaped and no empty text is lost at a file's end.
+    """
     path = scratch(spark, "tree")
-    f = files(spark, sf_dir).select("path", "content", F.substring_index("path", "/", 1).alias("directory"))
-    f.select("directory", F.regexp_replace(F.base64(F.encode("content", "UTF-8")), r"\s", "").alias("line")).repartition("directory").write.partitionBy("directory").text(path)
-    found = documents.scan_tree(spark, path, content=True).where(F.col("path").startswith("directory="))
-    lines = found.select(F.regexp_extract("path", "^directory=([^/]*)/", 1).alias("directory"), F.explode(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
-    return lines.groupBy("directory").agg(F.count("*").alias("files"), F.sum(F.octet_length(F.unbase64("line")).cast("long")).alias("bytes"))
+    f = files(spark, sf_dir).select(F.concat(F.lit("x"), F.hex(F.substring_index("path", "/", 1))).alias("directory"), "content", F.monotonically_increasing_id().alias("row"))
+    # those of more than one file are as many as there are files at most, however many sources there are
+    split = f.groupBy("directory").agg(F.ceil(F.sum(F.octet_length("content").cast("long")) * 4 / 3 / TREE_FILE).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = f.join(F.broadcast(split), "directory", "left").select("directory", part, "content").repartition("directory", "part")
+    text = F.concat(F.lit("t"), F.regexp_replace(F.base64(F.encode("content", "UTF-8")), r"\s", ""))
+    dealt.select("directory", "part", F.coalesce(text, F.lit("n")).alias("line")).write.partitionBy("directory", "part").text(path)
+    found = documents.scan_tree(spark, path, content=True, ordered=False).where(F.col("path").startswith("directory="))
+    name = F.decode(F.unhex(F.regexp_extract("path", "^directory=x([^/]*)/", 1)), "UTF-8")
+    lines = found.select(name.alias("directory"), F.explode(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
+    size = F.when(F.col("line").startswith("t"), F.octet_length(F.unbase64(F.substr("line", F.lit(2)))).cast("long"))
+    return lines.groupBy("directory").agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))

@@ -695,3 +695,18 @@ def test_http_ranges(spark):
     server.shutdown()
     assert {k: r["status"] for k, r in got.items()} == {"good": "ok", "missing": "not found", "flaky": "ok", "whole": "corrupt", "short": "corrupt", "total": "corrupt", "gzip": "corrupt", "gone": "unavailable"}
     assert bytes(got["good"]["payload"]) == data[10:15] and (got["flaky"]["requests"], got["flaky"]["errors"]) == (2, 1) and got["gone"]["requests"] == 2
+
+
+def test_scanned_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A source's texts are many files, whatever their bytes; odd names and empty texts stay."""
+    from packlens.plans import formats
+
+    text = F.when(F.col("id") % 10 == 0, "").otherwise(F.repeat(F.lit("ab"), 15_000))
+    hot = spark.range(500).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
+    odd = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate([("é", "a b:%=c"), ("", "blank"), ("", "blank"), (None, "none"), ("x", "")])], "doc_id long, text string, lang string, source string")
+    hot.unionAll(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(formats, "scratch", lambda spark, label: f"file://{tmp_path}/{label}")
+    got = {r["directory"]: (r["files"], r["bytes"]) for r in formats.tree_scan(spark, str(tmp_path)).collect()}
+    assert got == {"hot": (500, 450 * 30_000), "a b:%=c": (1, 2), "blank": (2, 0), "none": (1, None), "": (1, 1)}
+    sizes = [r["size"] for r in documents.scan_tree(spark, f"file://{tmp_path}/tree").collect() if r["path"].startswith("directory=")]
+    assert len(sizes) > 6 and max(sizes) < 8 << 20
