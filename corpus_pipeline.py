@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.llm.common import Saved, free
+from packlens.llm.common import Saved, free, marked
 from packlens.llm.jaccard import near_duplicates
 from packlens.llm.language import held_out, keep_known, learn
 from packlens.llm.mixing import emit, mixture
@@ -37,7 +37,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     depends on how a reading is split. Null or repeated ids lose no document: a null id comes after all
     others, and the number decides between equal ones. Documents without words (null, empty or blank
     texts) are alone and stay; very long texts are compared whole; repeated rows are one class; an empty
-    table gives an empty result. Columns may have any names.
+    table gives an empty result. Columns may have any names. The rows that stay are told by one bit a
+    row, so that texts are not shuffled.
     """
     row = free(docs.columns, "row")
     placed = Saved(docs.withColumn(row, F.monotonically_increasing_id()), "placed")
@@ -45,7 +46,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))
     named = classes.join(placed.df.select(row, "doc_id"), row)
     first = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
-    return placed.df.join(first, row, "left_semi").select(*docs.columns)
+    stays = free(placed.df.columns, "stays")
+    return marked(placed.df, F.col(row), first, F.col(row), stays).where(F.col(stays)).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

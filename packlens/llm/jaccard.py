@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, join_unique, parts, prepare
+from .common import Saved, join_unique, parts, prepare, sieved
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -404,7 +404,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = rest.df.agg(F.sum("n")).first()[0] or 0
     bits = max(LEAST_BITS, (parts(left, per_bucket) - 1).bit_length())
     reps = rest.df.select("rep").distinct()
-    blocks = Saved(source.join(reps, source["id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(_blocks(k, salt), _BLOCKS), "blocks")
+    open_rows = sieved(source, F.col("id"), reps, F.col("rep"), many, "open").where("open").select("id", "text")
+    blocks = Saved(open_rows.join(reps, open_rows["id"].eqNullSafe(reps["rep"]), "left_semi").mapInArrow(_blocks(k, salt), _BLOCKS), "blocks")
 
     answers = blocks.df.select("block", "keys").mapInArrow(_ask(bits), "bucket int, block long, keys binary, many binary").groupBy("bucket").applyInArrow(_answer, "block long, bucket int, ranks binary")
     posts = Saved(blocks.df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rarest(num, den), "key long, f1 long, n long"), "posts", parts(left, ROWS_PER_FILE))

@@ -4,7 +4,8 @@ Every version of every text is content-addressed by SHA-256. The ledger, a Parqu
 folder, says which blobs a version of the rules has scanned and what was found in them. A scan takes
 the blobs of its input that the ledger lacks for its rules, reads one text of each, and appends the
 findings; findings are then joined back to every path that holds the blob. A group of copies is thus
-scanned once, whatever its size, and hashes, not texts, are what is grouped.
+scanned once, whatever its size, and hashes, not texts, are what is grouped. A text that is certainly
+the only one of its blob, and new, is scanned where it is read; only others are joined to choose one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, join_unique, prepare, work_dir
+from .common import Saved, free, join_unique, prepare, sieved, work_dir
 
 #: kind, pattern, least length, the group whose length counts. The first three are the fixed base.
 BASE = (
@@ -102,12 +103,16 @@ def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     paths = texts.select("id", "blob")
     known = _ledger(spark, ledger, version)
     blobs = paths.groupBy("blob").agg(F.min("id").alias("rep"), F.count("*").alias("paths"))
+    total = versions.count()
     one = blobs.join(known.select("blob"), "blob", "left_anti").select(F.col("blob").alias("new"), "rep")
-    unseen = texts.join(one, (texts["blob"] == one["new"]) & texts["id"].eqNullSafe(one["rep"]), "left_semi").select("blob", "text")
-    found = unseen.mapInArrow(_scan(rules), _FOUND).dropDuplicates(["blob"])
+    doubtful = blobs.where("paths > 1").select("blob").unionAll(blobs.join(known.select("blob"), "blob", "left_semi").select("blob"))
+    sorted_out = sieved(texts, F.col("blob"), doubtful, F.col("blob"), total, "doubtful")
+    alone, others = sorted_out.where("not doubtful").select("blob", "text"), sorted_out.where("doubtful")
+    chosen = others.join(one, (others["blob"] == one["new"]) & others["id"].eqNullSafe(one["rep"]), "left_semi").select("blob", "text")
+    found = alone.unionAll(chosen).mapInArrow(_scan(rules), _FOUND).dropDuplicates(["blob"])
     found.write.mode("append").parquet(f"{ledger}/rules={version}")
     held = _ledger(spark, ledger, version)
-    return join_unique(paths, blobs.join(held, "blob"), ["blob"], "paths", versions.count(), blobs).select("id", "blob", "spans"), ledger
+    return join_unique(paths, blobs.join(held, "blob"), ["blob"], "paths", total, blobs).select("id", "blob", "spans"), ledger
 
 
 def listed(spans: Column) -> Column:
@@ -117,16 +122,19 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``[kind]``; overlapping spans become one.
+    Texts that certainly hold none are not shuffled.
 
     Rows without findings, null and empty texts and other columns stay as they are, whatever their
     names; repeated rows stay repeated and are changed alike; very long texts are changed whole. An empty
     table gives an empty result.
     """
-    blob, found = free(docs.columns, "blob"), free(docs.columns, "spans")
+    blob, found, flag = (free(docs.columns, x) for x in ("blob", "spans", "flag"))
     spans, _ = scan(docs, id_col, text_col, rules)
     text = F.col(f"`{text_col}`")
-    hits = spans.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(found), F.count("*").alias(f"{blob}s"))
-    joined = join_unique(docs.withColumn(blob, F.sha2(text, 256)), hits, [blob], f"{blob}s", docs.count())
+    hits = Saved(spans.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(found), F.count("*").alias(f"{blob}s")), "hits").df
+    total = docs.count()
+    rows = sieved(docs.withColumn(blob, F.sha2(text, 256)), F.col(blob), hits, F.col(blob), total, flag)
+    joined = join_unique(rows.where(F.col(flag)), hits, [blob], f"{blob}s", total)
     step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
         F.struct(
             F.concat(acc["done"], F.when(x["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise("")).alias("done"),
@@ -134,7 +142,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
         )
     )
     clean = F.aggregate(found, F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select(*(F.when(F.col(found).isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    changed = joined.select(*(F.when(F.col(found).isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return rows.where(~F.col(flag)).select(*(F.col(f"`{c}`") for c in docs.columns)).unionAll(changed)
 
 
 def op10_secret_scan(spark, sf_dir: str, ledger: str | None = None) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 from helpers import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from packlens.llm import jaccard, language, mixing, packing, secrets
+from packlens.llm import common, jaccard, language, mixing, packing, secrets
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,3 +80,47 @@ def test_shape_and_run(spark):
     out = p.run(spark, SMALL)
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").isEmpty() and out.count() > 0
     assert language.NARROW < 0.01
+
+
+def _shuffled(spark, work) -> int:
+    """Bytes of shuffle that ``work`` writes."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        seen = context.statusStore().executorList(False)
+        return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+    before = total()
+    work()
+    return total() - before
+
+
+def test_texts_that_stay_as_they_are_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(3)
+    words = lambda: " ".join("".join(rng.choices("bcdghklmnpqrstvwxz", k=50)) for _ in range(400))
+    rows = [(i, words() + (" secret=abcdefghij" if i % 50 == 0 else ""), "xx", "s", 1) for i in range(200)]
+    rows.append((900, rows[7][1], "xx", "s", 1))
+    spark.createDataFrame(rows, COLUMNS).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(len(t) for _, t, *_ in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {}
+        for stage in (p.one_of_each, p.without_secrets):
+            assert _shuffled(spark, lambda: stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{stage.__name__}")) < size / 3, stage.__name__
+            got[stage.__name__] = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/{stage.__name__}").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got["one_of_each"] == {i: t for i, t, *_ in rows if i < 900}
+    assert got["without_secrets"] == {i: t.replace("secret=abcdefghij", "[assign]") for i, t, *_ in rows}
+
+
+def test_marks_are_exact_and_sieves_lose_no_key(spark):
+    rows = spark.range(100_000).select(F.expr("if(id % 3 = 0, id * 7 + shiftleft(id % 5, 33), id)").alias("row"))
+    keys = rows.where("row % 11 in (0, 1, 4)")
+    assert common.marked(rows, F.col("row"), keys, F.col("row"), "flag").where("flag <> (row % 11 in (0, 1, 4))").isEmpty()
+    text = F.when(F.col("row") > 0, F.col("row").cast("string"))
+    few = rows.where("row % 50 = 0")
+    got = common.sieved(rows, text, few, text, 100_000, "flag")
+    assert got.count() == 100_000 and got.where("row % 50 = 0 and not flag").isEmpty() and got.where("row % 50 <> 0 and flag").count() < 2_000
